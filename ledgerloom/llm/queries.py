@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, mixing, packing
+from ledgerloom.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
 from ledgerloom.llm.common import documents
 
 #: Where the tokenizer file is on every executor.
@@ -22,10 +22,26 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.compression_quality(documents(spark, sf_dir))
+
+
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op7_exact_dedup)}
+def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_report(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op3_compression_bands, op6_subword_toxicity, op7_exact_dedup, op8_randomness_secrets, op9_simhash)}
 
 ORACLES: dict[str, str] = {"op2_weighted_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
