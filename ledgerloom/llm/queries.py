@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
+from ledgerloom.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, toxicity
 from ledgerloom.llm.common import documents
 
 #: Where the tokenizer file is on every executor.
@@ -42,6 +42,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op3_compression_bands, op6_subword_toxicity, op7_exact_dedup, op8_randomness_secrets, op9_simhash)}
+def op10_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_template_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
-ORACLES: dict[str, str] = {"op2_weighted_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op3_compression_bands, op6_subword_toxicity, op7_exact_dedup, op8_randomness_secrets, op9_simhash, op10_template_lines)}
+
+ORACLES: dict[str, str] = {"op2_weighted_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_template_lines": line_dedup.ORACLE}
