@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, secrets, simhash, toxicity
+from ledgerloom.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, recurrent_lm, secrets, simhash, toxicity
 from ledgerloom.llm.common import documents
 
 #: Where the tokenizer file is on every executor.
@@ -30,6 +30,10 @@ def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.lm_scores(documents(spark, sf_dir))
+
+
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,6 +54,6 @@ def op10_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_template_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op3_compression_bands, op4_skip_chain_pii, op6_subword_toxicity, op7_exact_dedup, op8_randomness_secrets, op9_simhash, op10_template_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_weighted_mix, op3_compression_bands, op4_skip_chain_pii, op5_recurrent_lm, op6_subword_toxicity, op7_exact_dedup, op8_randomness_secrets, op9_simhash, op10_template_lines)}
 
 ORACLES: dict[str, str] = {"op2_weighted_mix": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_template_lines": line_dedup.ORACLE}
