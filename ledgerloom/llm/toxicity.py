@@ -219,3 +219,19 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(*sample(docs, labels)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose score is 0.5 or more; all its columns, in its order."""
+    model = train(*sample(docs, labels, text_col=text_col))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
+        for b in batches:
+            texts = b.column(schema.fieldNames().index(text_col)).cast(pa.binary())
+            for at in range(0, b.num_rows, 256):
+                some = texts.slice(at, 256).to_pylist()
+                yield b.slice(at, 256).filter(pa.array([_margin(model, known, t or b"") < 0 for t in some]))
+
+    return docs.mapInArrow(run, schema)
