@@ -112,12 +112,13 @@ readings AS (
   FROM mis WHERE cents IS NOT NULL)"""
 DETAIL_SQL = GOLD_SQL + f""",
 d0 AS (SELECT doc, field, cents, {_noise_sql('0')} AS h FROM gold WHERE NOT (doc % 7 = 0 AND field = 'subtotal')),
+dm AS (SELECT *, {_MISREAD} AS rc FROM d0),
 d1 AS (
   SELECT doc AS id, CASE WHEN doc % 3 = 0 THEN 'scan' ELSE 'photo' END AS dataset, field,
     CASE WHEN doc % 11 = 0 AND field = 'tax' THEN NULL ELSE {_CENTS} END AS gold_normalized,
-    (SELECT {_CENTS} FROM (SELECT {_MISREAD} AS cents)) AS read,
+    {_CENTS.replace('cents', 'rc')} AS read,
     ('0x' || substr(sha256('run:' || doc::VARCHAR), 1, 4))::BIGINT % 100 >= 4 AS execution_ok,
-    ('0x' || substr(h, 11, 2))::BIGINT % 3 AS lv FROM d0),
+    ('0x' || substr(h, 11, 2))::BIGINT % 3 AS lv FROM dm),
 d2 AS (SELECT *, CASE WHEN execution_ok THEN read END AS predicted_normalized FROM d1),
 d3 AS (
   SELECT *, (execution_ok AND gold_normalized IS NOT DISTINCT FROM predicted_normalized)::INTEGER AS correct,
