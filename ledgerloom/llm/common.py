@@ -46,22 +46,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    meta = docs.metadataColumn("_metadata")
+    return docs.withColumns({FILE_KEY: F.xxhash64(meta["file_path"]), ROW_KEY: meta["row_index"]})
+
+
+def file_backed(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows come straight from files, else as written and read back once."""
+    try:
+        _keyed(docs).schema  # noqa: B018  analysis happens here
+        return docs
+    except AnalysisException:
+        return materialise(docs)
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """``docs`` with FILE_KEY and ROW_KEY, which name a row of a file for good.
 
     They come from the reader's metadata, so unlike monotonically_increasing_id they stay the same when a lost
-    executor changes how files are split. A frame that isn't a plain file scan is written once and read back.
+    executor changes how files are split. To name the same rows twice, call this twice on one file_backed() frame.
     """
-    def keyed(df: DataFrame) -> DataFrame:
-        meta = df.metadataColumn("_metadata")
-        return df.withColumns({FILE_KEY: F.xxhash64(meta["file_path"]), ROW_KEY: meta["row_index"]})
-
-    try:
-        out = keyed(docs)
-        out.schema  # noqa: B018  analysis happens here
-        return out
-    except AnalysisException:
-        return keyed(materialise(docs))
+    return _keyed(file_backed(docs))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, WORD, materialise, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, WORD, file_backed, materialise, with_row_key
 
 MIN_DOCS, MIN_TOKENS, LEAD = 3, 5, 3
 SEGMENTS, WILD_TOKENS, WILD_SHARE = 8, 8, 0.75
@@ -57,6 +57,7 @@ def template_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def drop_template_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with its texts cleaned, and n_lines and n_dropped."""
+    docs = file_backed(docs)
     found = template_lines(docs, text_col).groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
     joined = with_row_key(docs).join(found, ROW, "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)

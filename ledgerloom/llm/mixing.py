@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, materialise, parts_for, with_row_key, words_in
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, materialise, parts_for, with_row_key, words_in
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 
     Documents stay whole here, so a source ends within half a document of its target.
     """
+    docs = file_backed(docs)
     plan = schedule(docs, **options).select(*ROW, F.expr("size(filter(passes, p -> 2 * p.take >= size))").alias("__copies")).where("__copies > 0")
     named = with_row_key(docs)
     copies = named.join(plan.hint("shuffle_hash"), ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))

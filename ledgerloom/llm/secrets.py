@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, materialise, union_all, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, materialise, union_all, with_row_key
 
 #: Kind -> (pattern, group whose length counts, shortest). Hex and access keys are runs: a shorter run never holds a
 #: match, so their shortest length is in the pattern.
@@ -132,6 +132,7 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts and spans."""
+    docs = file_backed(docs)
     order = F.array(*(F.lit(k) for k in (*BASE, ADDED)))
     span = F.struct("start", F.array_position(order, F.col("kind")).alias("rank"), "end", "kind")
     by_row = secret_spans(docs).groupBy(*ROW).agg(F.sort_array(F.collect_list(span)).alias("spans"))

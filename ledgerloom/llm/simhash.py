@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, materialise, parts_for, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, materialise, parts_for, with_row_key
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Widths of the three blocks.
@@ -220,6 +220,7 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id."""
+    docs = file_backed(docs)
     groups = materialise(near_groups(docs, id_col=id_col, text_col=text_col))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
     stays = groups.groupBy("component_id").agg(F.min(who).alias("w"), F.count("*").alias("n")).where("n > 1").select("component_id", "w")

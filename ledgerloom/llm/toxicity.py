@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, with_row_key
 
 #: Bounds of the sample: documents of each class, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8_000_000
@@ -165,6 +165,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     The first SAMPLE_DOCS of each class by a hash of the id, whole, as long as they fit in SAMPLE_CHARS.
     """
+    docs = file_backed(docs)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
     chosen = [usable.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_DOCS) for y in (0, 1)]
