@@ -52,17 +52,16 @@ def balanced_values(docs: DataFrame) -> Column:
     return F.filter(pairs, lambda p: F.array_contains(totals, p["s"] + p["t"]))
 
 
+def dominant(groups: str, cfg: VoteConfig) -> Column:
+    """Where a total has a strong label, totals without one don't stand."""
+    best = F.array_max(F.transform(F.filter(groups, lambda g: g["field"] == "total"), lambda g: g["score"]))
+    return F.filter(groups, lambda g: (g["field"] != "total") | (best < cfg.dominant_score) | (g["score"] >= cfg.dominant_score))
+
+
 def ranked_groups(candidates: DataFrame, cfg: VoteConfig) -> DataFrame:
     """doc, field, norm, score, votes, fuzzy, balanced, rank, weight: all groups that stand for election."""
-    groups = vote_groups(candidates)
-    if cfg.dominance:
-        best = F.max("score").over(Window.partitionBy("doc", "field"))
-        groups = groups.withColumn("__best", best).where((F.col("field") != "total") | (F.col("__best") < cfg.dominant_score) | (F.col("score") >= cfg.dominant_score)).drop("__best")
-        whole = vote_groups(candidates).groupBy("doc").agg(F.collect_list(F.struct("field", "cents")).alias("groups"))
-    else:
-        whole = groups.groupBy("doc").agg(F.collect_list(F.struct("field", "cents")).alias("groups"))
-    per_doc = groups.groupBy("doc").agg(F.collect_list(F.struct("field", "norm", "cents", "score", "views")).alias("standing"))
-    docs = per_doc.join(whole.select("doc", balanced_values(whole).alias("sums")), "doc")
+    each = vote_groups(candidates).groupBy("doc").agg(F.collect_list(F.struct("field", "norm", "cents", "score", "views")).alias("groups"))
+    docs = each.withColumn("sums", balanced_values(each)).withColumn("standing", dominant("groups", cfg) if cfg.dominance else F.col("groups"))
     rows = docs.select("doc", "standing", "sums", F.explode("standing").alias("g"))
     others = F.aggregate(F.filter("standing", lambda o: (o["field"] == F.col("g.field")) & near(o["norm"], F.col("g.norm"))), F.lit(0).cast("long"), lambda a, o: a.bitwiseOR(o["views"]))
     fuzzy = mask_weight(others.bitwiseAND(F.bitwise_not("g.views")), cfg) if cfg.fuzzy else F.lit(0.0)
