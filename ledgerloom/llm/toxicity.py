@@ -38,8 +38,8 @@ EPOCHS, BATCH, RATE, DECAY, SCALE, DAMP, SEED = 16, 32, 0.5, 3e-5, 30.0, 1e-8, 7
 #: Rows that fewer of the sample's documents have are not trained.
 MIN_SHARE = 0.01
 WINDOW = 8
-#: Words a worker remembers.
-REMEMBERED = 400_000
+#: Words a worker remembers, as they stand and bare: about 80 MB.
+REMEMBERED = 250_000
 EDGES = string.punctuation + "¡¿«»“”„’"
 
 
@@ -133,8 +133,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def calibrated(model: Model, texts: list[str], labels: list[int], prior: float) -> Model:
     """Slope and offset of the margin, by logistic regression on texts the model was not fitted on; each class weighs
     what it does in the corpus."""
-    known: dict[bytes, float] = {}
-    x = np.array([_margin(model, known, t.encode()) for t in texts])
+    x = np.array([*map(Scorer(model), (t.encode() for t in texts))])
     y = np.array(labels, float)
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     middle, spread = x.mean(), max(float(x.std()), 1e-6)
@@ -186,31 +185,72 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return [r["__text"] or "" for r in rows], [r["__y"] for r in rows], toxic / n
 
 
-def _margin(model: Model, known: dict[bytes, float], text: bytes) -> float:
-    """Of the window of WINDOW words where it is largest. Shorter texts are filled up with words that say nothing."""
-    words = text.split()
-    try:
-        each = [known[w] for w in words]
-    except KeyError:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            g = grams(w.decode())
-            known[w] = float(model.margin[g].sum()) / len(g)
-        each = [known[w] for w in words]
-    total = np.cumsum([0.0, *each])
-    return (float((total[WINDOW:] - total[:-WINDOW]).max()) if len(each) >= WINDOW else float(total[-1])) / WINDOW + model.bias
+class GramMargins(dict):
+    """N-gram -> what it adds to the margin; words are made of the same few n-grams over and over."""
+
+    def __init__(self, margin: list[float]) -> None:
+        self.margin = margin
+
+    def __missing__(self, gram: str) -> float:
+        v = self[gram] = self.margin[zlib.crc32(gram.encode()) & (BUCKETS - 1)]
+        return v
+
+
+class Scorer:
+    """Margins of texts under one model, with the words a worker has met; it outlives the tasks of the worker."""
+
+    def __init__(self, model: Model) -> None:
+        self.grams, self.bias = GramMargins(model.margin.tolist()), model.bias
+        self.known: dict[bytes, float] = {}
+        self.cores: dict[str, float] = {}
+
+    def word(self, raw: bytes) -> float:
+        core = raw.decode().lower().strip(EDGES)
+        if (v := self.cores.get(core)) is None:
+            w, of = f"<{core}>", self.grams
+            parts = [of[w[i : i + n]] for n in NGRAMS for i in range(len(w) - n + 1)]
+            whole = of.margin[zlib.crc32(w.encode()) & (BUCKETS - 1)]
+            self.cores[core] = v = (whole + sum(parts)) / (1 + len(parts))
+        return v
+
+    def __call__(self, text: bytes) -> float:
+        """Of the window of WINDOW words where it is largest. Shorter texts are filled up with words that say nothing."""
+        words, known = text.split(), self.known
+        try:
+            each = [known[w] for w in words]
+        except KeyError:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for table in (self.cores, self.grams):
+                if len(table) > REMEMBERED:
+                    table.clear()
+            known.update((w, self.word(w)) for w in set(words).difference(known))
+            each = [known[w] for w in words]
+        total = np.cumsum([0.0, *each])
+        return (float((total[WINDOW:] - total[:-WINDOW]).max()) if len(each) >= WINDOW else float(total[-1])) / WINDOW + self.bias
+
+
+_scorers: dict[int, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """One for each worker: that of the model it scored with last."""
+    name = zlib.crc32(model.margin.tobytes(), zlib.crc32(repr(model.bias).encode()))
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model)
+    return _scorers[name]
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        margin = scorer(model)
         for b in batches:
             found: list[float] = []
             texts = b.column(2).cast(pa.binary())
             for at in range(0, b.num_rows, 256):
-                found += [_margin(model, known, t or b"") for t in texts.slice(at, 256).to_pylist()]
+                found += [margin(t or b"") for t in texts.slice(at, 256).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(found, float), -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -228,11 +268,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") ->
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        margin = scorer(model)
         for b in batches:
             texts = b.column(schema.fieldNames().index(text_col)).cast(pa.binary())
             for at in range(0, b.num_rows, 256):
                 some = texts.slice(at, 256).to_pylist()
-                yield b.slice(at, 256).filter(pa.array([_margin(model, known, t or b"") < 0 for t in some]))
+                yield b.slice(at, 256).filter(pa.array([margin(t or b"") < 0 for t in some]))
 
     return docs.mapInArrow(run, schema)

@@ -48,10 +48,11 @@ def test_stages(spark, corpus):
     columns = docs.columns
 
     model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{corpus}/labels.parquet")))
+    margin = toxicity.Scorer(model)
     keep = materialise(stages["toxicity"](spark, docs, corpus))
     before = docs.collect()
     assert keep.columns == columns
-    assert sorted(map(str, keep.collect())) == sorted(str(r) for r in before if toxicity._margin(model, {}, (r.text or "").encode()) < 0)
+    assert sorted(map(str, keep.collect())) == sorted(str(r) for r in before if margin((r.text or "").encode()) < 0)
     rude = [r.doc_id for r in keep.collect() if r.text and "scoundrel" in r.text]
     assert len(rude) <= 3 and keep.count() > 200
 
