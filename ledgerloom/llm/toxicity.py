@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, hashed_sample, with_row_key
 
 #: Bounds of the sample: documents of each class, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8_000_000
@@ -162,13 +162,13 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float]:
     """Texts and labels to learn from, and the toxic share of all labelled rows; never of held-out ones.
 
-    The first SAMPLE_DOCS of each class by a hash of the id, whole, as long as they fit in SAMPLE_CHARS.
+    About SAMPLE_DOCS of each class, by a hash of the id, whole, as long as they fit in SAMPLE_CHARS.
     """
     docs = file_backed(docs)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
-    chosen = [usable.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_DOCS) for y in (0, 1)]
-    few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * SAMPLE_DOCS rows at most
+    chosen = [hashed_sample(usable.where(F.col("__y") == y), ["__id"], SAMPLE_DOCS) for y in (0, 1)]
+    few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 4 * SAMPLE_DOCS rows at most
     named = with_row_key(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), FILE_KEY, ROW_KEY)
     sizes = named.join(few, "__id").select("__id", "__y", FILE_KEY, ROW_KEY, F.coalesce(F.length("__text"), F.lit(0)).alias("n")).collect()
     sizes.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__id"], r[FILE_KEY], r[ROW_KEY]))
