@@ -30,8 +30,8 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
 FAN_IN = 64
-#: Chunks in a worker's newer table; as many are in the one before it. About 60 MB each.
-REMEMBERED = 400_000
+#: Chunks in a worker's newer table; as many are in the one before it. About 45 MB each.
+REMEMBERED = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, is_open boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("is_open", pa.bool_())])
