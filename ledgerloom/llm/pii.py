@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -40,7 +42,7 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Bounds of the training sample: documents, and characters of one.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 50_000
-EPOCHS, RATE, LEFT_OUT, DECAY, SEED = 60, 0.3, 0.4, 1e-3, 11
+EPOCHS, RATE, LEFT_OUT, DECAY, SEED = 300, 0.3, 0.4, 1e-3, 11
 ROUNDS, DAMPING, SURE = 12, 0.3, 0.9
 CHAIN, SAME, SIMILAR = 0, 1, 2
 N_FEATURES = 40
@@ -195,9 +197,9 @@ class Field:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """From the first SAMPLE_DOCS documents with units, by a hash of the id, of at most SAMPLE_CHARS characters."""
+    """From about SAMPLE_DOCS documents with units, by a hash of id and text, of at most SAMPLE_CHARS characters."""
     with_units = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    texts = [r["text"] for r in with_units.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()]
+    texts = sorted(r["text"] for r in hashed_sample(with_units, ["id", "text"], SAMPLE_DOCS).select("text").collect())
     features, labels, links = [], [], []
     for t in texts:
         u = Units(t)
