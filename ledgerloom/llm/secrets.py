@@ -3,7 +3,7 @@
 Known forms (assign, access, hex) are found by patterns. A pattern's matches and what lies between them, from
 ``regexp_extract_all`` and ``split``, give every match's place; a running sum over them turns lengths to offsets.
 
-Any other run of token letters that has letters and digits is a candidate. Its encoding is the smallest alphabet that
+Any other run of token letters that has letters and digits is a candidate, however long. Its encoding is the smallest alphabet that
 holds it (hex, base32, base36, base62, base64). Three statistics say how unlike a random string over that alphabet it
 is: the chi-squared of its letter counts, the number of runs (of digits, upper and lower case), and the correlation of
 neighbours. Their smallest p-value, times three, is the candidate's. Within each band of lengths over the whole corpus
@@ -31,14 +31,15 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 ADDED = "random"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])"
-#: Encoding -> (pattern, alphabet in order, shortest length), smallest alphabet first.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])"
+#: Encoding -> (pattern, alphabet in order, shortest length), smallest alphabet first. A string of base64 has one pair of
+#: +/ and -_, which count as the same two letters: with both, long strings would lack two letters of 66.
 ENCODINGS = {
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 24),
     "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
     "base36": (r"^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
     "base62": (r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20),
-    "base64": (r"^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 24),
+    "base64": (r"^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24),
 }
 #: Bands begin at these lengths; share of false calls of "not random"; p-value bins, a twentieth of a power of ten each.
 LENGTH_BANDS, RATE, BINS, BINS_A_POWER = (20, 32, 48, 96), 0.05, 400, 20
@@ -78,7 +79,7 @@ def battery(df: DataFrame, col: str = "found") -> DataFrame:
     one_case = F.col("encoding").isin("hex", "base36")
     alphabet = F.element_at(F.create_map(*(x for name, (_, letters, _) in ENCODINGS.items() for x in (F.lit(name), F.lit(letters)))), F.col("encoding"))
     df = df.withColumn("encoding", encoding).where(F.col("encoding").isNotNull())
-    df = df.withColumn("__x", F.split(F.when(one_case, F.lower(s)).otherwise(s), "")).withColumn("__a", alphabet)
+    df = df.withColumn("__x", F.split(F.when(one_case, F.lower(s)).otherwise(F.translate(s, "-_", "+/")), "")).withColumn("__a", alphabet)
     df = df.withColumn("__v", F.transform("__x", lambda c: F.position(c, F.col("__a")).cast("double")))
     n, k = F.size("__v").cast("double"), F.length("__a").cast("double")
     counts = F.transform(F.array_distinct("__v"), lambda v: F.size(F.filter("__v", lambda w: w == v)).cast("double"))
