@@ -8,7 +8,8 @@ repeats. Weights are learned by pseudo-likelihood from units that the patterns l
 documents; unit features are left out at random in training, so that the skip potentials learn to stand in for them.
 Spans that the field is sure of and the patterns lack are added.
 
-A document's units are linked to their latest like, so links grow with the units. Units of a batch of documents are
+A document's units are linked to the first of their like, so links grow with the units and any two repeats are two
+links apart, which ROUNDS covers however many there are. Units of a batch of documents are
 labelled together, as one graph without links between documents.
 
 Null counts as empty: no spans. Rows that repeat are read alike. An empty table gives an empty result; other columns
@@ -88,7 +89,7 @@ class Units:
         self.spans: list[tuple[int, int]] = []
         self.features: list[list[int]] = []
         self.links: list[tuple[int, int, int]] = []
-        latest: dict[str, int] = {}
+        hub: dict[str, int] = {}
         for m in UNIT.finditer(text):
             if "@" in m.group():
                 word = m.group().strip(".,;:!?\"'()[]{}<>|#*$%&")
@@ -104,10 +105,10 @@ class Units:
                 self.links.append((CHAIN, here - 1, here))
             linked = set()
             for kind, key in keys:
-                if key in latest and latest[key] not in linked:
-                    self.links.append((kind, latest[key], here))
-                    linked.add(latest[key])
-                latest[key] = here
+                if key in hub and hub[key] not in linked:
+                    self.links.append((kind, hub[key], here))
+                    linked.add(hub[key])
+                hub.setdefault(key, here)
             self.spans.append(span)
             self.features.append(self.describe(word, text[max(0, span[0] - 24) : span[0]], text[span[1] : span[1] + 1]))
 
