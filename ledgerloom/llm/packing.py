@@ -30,8 +30,8 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
 FAN_IN = 64
-#: Chunks in a worker's newer table; as many are in the one before it. About 45 MB each.
-REMEMBERED = 250_000
+#: Bytes, about, of a worker's newer table of chunks; as many are in the one before it, and in that of their letters.
+REMEMBERED_BYTES = 45 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, is_open boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("is_open", pa.bool_())])
@@ -63,18 +63,20 @@ class ChunkEncoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.held = self.held_cores = 0
 
     def __call__(self, text: bytes) -> bytes:
         chunks = text.split()
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-            if len(self.cores) > REMEMBERED:
-                self.cores.clear()
+            if self.held > REMEMBERED_BYTES:
+                self.older, self.known, self.held = self.known, {}, 0
+            if self.held_cores > REMEMBERED_BYTES:
+                self.cores, self.held_cores = {}, 0
             for c in set(chunks).difference(self.known):
-                self.known[c] = self.older.get(c) or self.chunk(c)
+                self.known[c] = ids = self.older.get(c) or self.chunk(c)
+                self.held += len(c) + len(ids) + 170
             return b"".join(map(self.known.__getitem__, chunks))
 
     def chunk(self, raw: bytes) -> bytes:
@@ -88,6 +90,7 @@ class ChunkEncoder:
     def core(self, text: str) -> bytes:
         found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
         self.cores[text] = ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        self.held_cores += len(text) + len(ids) + 190
         return ids
 
 

@@ -1,9 +1,11 @@
 """Compression bands: zstandard ratios reject repetitive and incompressible text.
 
-The ratio of plain to compressed bytes is taken over the whole document and over each fixed chunk. Limits depend on
-the length, as short texts compress little whatever they hold: below the lower one a text is as good as random, above
-the upper one it repeats itself. A document is out when its whole ratio is outside its band, or when more than a
-quarter of its full chunks are outside theirs, which finds a repetitive part in a long document.
+The ratio of plain to compressed bytes is taken over the whole document and over each fixed chunk of it, the last one
+ending with the text. Limits depend on the length, as short texts compress little whatever they hold. Below the lower
+one a text is as good as random: letters drawn at random from an alphabet stay under it, in base64 or in plain small
+letters. Above the upper one it repeats itself: prose of any language here stays a fifth under it. A document is out
+when its whole ratio is outside its band, or when more than a quarter of its chunks are outside theirs, which finds a
+part of another kind in a longer text.
 
 Null counts as empty; an empty text has no words and so fails the base rule. An empty table gives an empty result;
 other columns are ignored.
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 LEVEL = 3
 #: Bands begin at these lengths in bytes; each has a lowest and highest ratio.
-BAND_FROM = (0, 128, 512, 2048, 8192)
-BAND_LIMITS = ((0.0, 2.3), (0.95, 3.2), (1.2, 4.1), (1.4, 4.3), (1.5, 4.5))
-CHUNK, CHUNK_LIMITS, CHUNK_SHARE = 4096, (1.35, 4.0), 0.25
+BAND_FROM = (0, 128, 256, 512, 1024, 2048, 8192, 32768)
+BAND_LIMITS = ((0.0, 2.0), (1.0, 2.1), (1.25, 2.2), (1.4, 2.6), (1.55, 2.9), (1.72, 3.2), (1.8, 3.5), (1.8, 4.2))
+#: A chunk's bytes, its limits, and the share of a document's chunks that may be outside them.
+CHUNK, CHUNK_LIMITS, CHUNK_SHARE = 1024, (1.5, 2.8), 0.25
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 
@@ -52,13 +55,21 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def chunks_of(raw: bytes) -> list[bytes]:
+    """Of CHUNK bytes each; the last one ends with the text and may overlap the one before. None in a shorter text."""
+    begins = [*range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if begins and begins[-1] + CHUNK < len(raw):
+        begins.append(len(raw) - CHUNK)
+    return [raw[at : at + CHUNK] for at in begins]
+
+
 def bands(raw: bytes, compress: zstandard.ZstdCompressor) -> tuple[bool, float, int, int]:
-    """Verdict, whole ratio, full chunks, those outside their limits."""
+    """Verdict, whole ratio, chunks, those outside their limits."""
     ratio = len(raw) / len(compress.compress(raw))
     low, high = BAND_LIMITS[bisect_right(BAND_FROM, len(raw)) - 1]
-    chunks = [CHUNK / len(compress.compress(raw[at : at + CHUNK])) for at in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    out = sum(not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1] for r in chunks)
-    return low <= ratio <= high and out <= CHUNK_SHARE * len(chunks), ratio, len(chunks), out
+    each = [CHUNK / len(compress.compress(c)) for c in chunks_of(raw)]
+    out = sum(not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1] for r in each)
+    return low <= ratio <= high and out <= CHUNK_SHARE * len(each), ratio, len(each), out
 
 
 def judge(text: str, compress: zstandard.ZstdCompressor) -> tuple:

@@ -3,13 +3,18 @@
 Known forms (assign, access, hex) are found by patterns. A pattern's matches and what lies between them, from
 ``regexp_extract_all`` and ``split``, give every match's place; a running sum over them turns lengths to offsets.
 
-Any other run of token letters that has letters and digits is a candidate, however long. Its encoding is the smallest alphabet that
-holds it (hex, base32, base36, base62, base64). Three statistics say how unlike a random string over that alphabet it
-is: the chi-squared of its letter counts, the number of runs (of digits, upper and lower case), and the correlation of
-neighbours. Their smallest p-value, times three, is the candidate's. Within each band of lengths over the whole corpus
-the Benjamini-Hochberg rule, on a histogram of p-values of fixed size, tells which candidates are not random; those it
-clears are secrets. Short strings have little power to fail a test, so each encoding has a shortest length, and the
-bands keep the many short ones from setting the rule for long ones.
+Any other run of token letters that has letters and digits is a candidate, however long. Its encoding is the smallest
+alphabet that holds it (hex, base32, base36, base62, base64). Three statistics are taken of it: the chi-squared of its
+letter counts against the alphabet's uniform ones, the runs of digits, upper and lower case, and the correlation of
+neighbours. They are used twice:
+
+- A random string has to pass all three: one that a test rejects at ODD is no secret.
+- A secret has to be unlike ordinary text. Names and paths use letters as languages do and change between classes
+  seldom; from that the chi-squared and the runs to expect of an ordinary string of the same encoding and length follow,
+  and how far the candidate is from both is its p-value, ``ordinary_p``. The Benjamini-Hochberg rule, on a histogram of
+  fixed size of these in each band of lengths over the whole corpus, keeps the expected share of false secrets under
+  RATE. Short strings have little power, so they need a stronger contrast; the bands keep the many short ones from
+  setting the rule for long ones.
 
 Only DataFrame functions are used. Rows move between tasks for texts that have a match, as matches, never as text.
 Null counts as empty: no spans. Rows that repeat are scanned alike. An empty table gives an empty result; other
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, materialise, union_all, with_row_key
+from ledgerloom.llm.common import ROW, file_backed, materialise, union_all, with_row_key
 
 #: Kind -> (pattern, group whose length counts, shortest). Hex and access keys are runs: a shorter run never holds a
 #: match, so their shortest length is in the pattern.
@@ -41,9 +46,12 @@ ENCODINGS = {
     "base62": (r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20),
     "base64": (r"^[0-9A-Za-z+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24),
 }
-#: Bands begin at these lengths; share of false calls of "not random"; p-value bins, a twentieth of a power of ten each.
-LENGTH_BANDS, RATE, BINS, BINS_A_POWER = (20, 32, 48, 96), 0.05, 400, 20
-ROW = [FILE_KEY, ROW_KEY]
+#: Bands begin at these lengths; share of false secrets; a random string's tests fail at this; p-value bins, a
+#: twentieth of a power of ten each.
+LENGTH_BANDS, RATE, ODD, BINS, BINS_A_POWER = (20, 32, 48, 96), 0.01, 0.001, 400, 20
+#: Ordinary strings: shares of lower-case letters, capitals and digits, the chance that two letters of a language's text
+#: are the same, that two digits are, and that a class ends at a character.
+ORDINARY_SHARES, SAME_LETTER, SAME_DIGIT, ORDINARY_BORDER = (0.75, 0.05, 0.2), 0.067, 0.1, 0.2
 
 
 def _matches(rows: DataFrame, kind: str, pattern: str, group: int, shortest: int) -> DataFrame:
@@ -72,46 +80,67 @@ def _tail(z: Column) -> Column:
     return F.exp(-0.717 * z - 0.416 * z * z)
 
 
+def ordinary_excess(letters: str) -> float:
+    """How much more often two places of an ordinary string agree than chance has it, times the alphabet's size: an
+    ordinary string of n letters has a chi-squared above its degrees of freedom by n times this."""
+    lower, upper, digit = ORDINARY_SHARES
+    if not (any(c.islower() for c in letters) and any(c.isupper() for c in letters)):  # one case holds both
+        lower, upper = lower + upper, 0.0
+    # of fewer letters, or digits, two agree more often
+    n_letters, n_digits = len({c.lower() for c in letters if c.isalpha()}), sum(c.isdigit() for c in letters)
+    return len(letters) * ((lower**2 + upper**2) * SAME_LETTER * 26 / n_letters + digit**2 * SAME_DIGIT * 10 / n_digits) - 1
+
+
 def battery(df: DataFrame, col: str = "found") -> DataFrame:
-    """Adds encoding, chi_p, runs_p, serial_p and p to rows with a candidate string; encoding is null where none fits."""
+    """Adds encoding, chi_p, runs_p, serial_p, random_p (the least of the three, times three) and ordinary_p to rows with a
+    candidate string; rows that no encoding fits are left out. Every step is linear in the string."""
     s = F.col(col)
     encoding = F.coalesce(*(F.when(s.rlike(rule) & (F.length(s) >= n), F.lit(name)) for name, (rule, _, n) in ENCODINGS.items()))
     one_case = F.col("encoding").isin("hex", "base36")
-    alphabet = F.element_at(F.create_map(*(x for name, (_, letters, _) in ENCODINGS.items() for x in (F.lit(name), F.lit(letters)))), F.col("encoding"))
+    of = lambda value: F.element_at(F.create_map(*(x for name, (_, letters, _) in ENCODINGS.items() for x in (F.lit(name), F.lit(value(letters))))), F.col("encoding"))
     df = df.withColumn("encoding", encoding).where(F.col("encoding").isNotNull())
-    df = df.withColumn("__x", F.split(F.when(one_case, F.lower(s)).otherwise(F.translate(s, "-_", "+/")), "")).withColumn("__a", alphabet)
+    df = df.withColumn("__y", F.when(one_case, F.lower(s)).otherwise(F.translate(s, "-_", "+/"))).withColumn("__x", F.split("__y", "")).withColumn("__a", of(str))
     df = df.withColumn("__v", F.transform("__x", lambda c: F.position(c, F.col("__a")).cast("double")))
     n, k = F.size("__v").cast("double"), F.length("__a").cast("double")
-    counts = F.transform(F.array_distinct("__v"), lambda v: F.size(F.filter("__v", lambda w: w == v)).cast("double"))
+    counts = F.transform(F.array_distinct("__x"), lambda c: (F.length("__y") - F.length(F.replace("__y", c, F.lit("")))).cast("double"))
     df = df.withColumn("__sq", F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
-    chi_z = (k / n * F.col("__sq") - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
-    # Runs of letter classes: a border between neighbours has the chance that two draws differ in class.
-    cls = F.transform("__x", lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3))
-    df = df.withColumn("__c", cls)
-    borders = F.aggregate(F.sequence(F.lit(2), F.size("__c")), F.lit(0.0), lambda a, i: a + F.when(F.element_at("__c", i) != F.element_at("__c", i - 1), 1.0).otherwise(0.0))
-    share = [(F.length(F.regexp_replace("__a", f"[^{r}]", "")) / k) for r in ("0-9", "A-Z", "a-z")]
-    differ = 1 - sum((x * x for x in share), F.lit(0.0)) - F.pow(1 - share[0] - share[1] - share[2], 2)
-    runs_z = (borders - (n - 1) * differ) / F.sqrt((n - 1) * differ * (1 - differ) * 1.5)
+    chi, free = k / n * F.col("__sq") - n, k - 1
+    chi_z = (chi - free) / F.sqrt(2 * free * (1 - 1 / n))
+    excess = n * of(ordinary_excess)
+    unlike_chi = (free + excess - chi) / F.sqrt(2 * (free + 2 * excess))
+    # Runs of letter classes, signs left out: a border between neighbours has the chance that two draws differ in class.
+    classed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("__y", "[+/]", ""), "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "2")
+    df = df.withColumn("__c", classed)
+    steps = F.greatest(F.lit(1.0), F.length("__c").cast("double") - 1)
+    borders = F.length(F.regexp_replace("__c", r"(.)\1*+", "x")).cast("double") - 1
+    share = [F.length(F.regexp_replace("__a", f"[^{r}]", "")) / F.length(F.regexp_replace("__a", "[+/]", "")) for r in ("0-9", "A-Z", "a-z")]
+    differ = 1 - sum((x * x for x in share), F.lit(0.0))
+    runs_z = (borders - steps * differ) / F.sqrt(steps * differ * (1 - differ) * 1.5)
+    unlike_runs = (borders - steps * ORDINARY_BORDER) / F.sqrt(steps * ORDINARY_BORDER * (1 - ORDINARY_BORDER))
     df = df.withColumn("__m", F.aggregate("__v", F.lit(0.0), lambda a, v: a + v) / n)
     df = df.withColumn("__var", F.aggregate("__v", F.lit(0.0), lambda a, v: a + (v - F.col("__m")) * (v - F.col("__m"))))
-    cov = F.aggregate(F.sequence(F.lit(2), F.size("__v")), F.lit(0.0), lambda a, i: a + (F.element_at("__v", i) - F.col("__m")) * (F.element_at("__v", i - 1) - F.col("__m")))
+    pairs = F.struct(F.lit(0.0).alias("sum"), F.col("__m").alias("last"))
+    cov = F.aggregate("__v", pairs, lambda a, v: F.struct((a["sum"] + (v - F.col("__m")) * (a["last"] - F.col("__m"))).alias("sum"), v.alias("last")))["sum"]
     serial_z = F.coalesce(F.try_divide(cov, F.col("__var")), F.lit(1.0)) * F.sqrt(n) + 1 / F.sqrt(n)
-    df = df.withColumns({"chi_p": _tail(chi_z), "runs_p": _tail(runs_z), "serial_p": _tail(serial_z)})
-    df = df.withColumn("p", F.least(F.lit(1.0), 3 * F.least("chi_p", "runs_p", "serial_p")))
-    return df.drop("__x", "__a", "__v", "__sq", "__c", "__m", "__var")
+    df = df.withColumns({"chi_p": _tail(chi_z), "runs_p": _tail(runs_z), "serial_p": _tail(serial_z), "__z": (unlike_chi + unlike_runs) / F.sqrt(F.lit(2.0))})
+    # one-sided: half of the two-sided p-value above zero
+    df = df.withColumn("ordinary_p", F.when(F.col("__z") > 0, _tail(F.col("__z")) / 2).otherwise(1.0))
+    df = df.withColumn("random_p", F.least(F.lit(1.0), 3 * F.least("chi_p", "runs_p", "serial_p")))
+    return df.drop("__y", "__x", "__a", "__v", "__sq", "__c", "__m", "__var", "__z")
 
 
 def random_ones(candidates: DataFrame) -> DataFrame:
-    """Candidates that the tests clear, by bands of length over all of them."""
+    """Candidates that pass as random and that the rule tells from ordinary strings, by bands of length over all of them."""
     band = F.coalesce(*(F.when(F.length("found") >= n, F.lit(n)) for n in reversed(LENGTH_BANDS)), F.lit(0))
-    tested = materialise(battery(candidates).withColumn("band", band).withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * BINS_A_POWER)).cast("int")))
+    bin_ = F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("ordinary_p", F.lit(1e-300))) * BINS_A_POWER)).cast("int")
+    tested = materialise(battery(candidates).withColumn("band", band).withColumn("bin", bin_))
     # Rows of this table: bands times bins, whatever the corpus.
     counts = tested.groupBy("band", "bin").agg(F.count("*").alias("n"))
     smaller = Window.partitionBy("band").orderBy(F.desc("bin"))
     ruled = counts.withColumn("upto", F.sum("n").over(smaller)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
     ruled = ruled.where(F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(BINS_A_POWER))) <= RATE * F.col("upto") / F.col("all"))
     cuts = F.broadcast(ruled.groupBy("band").agg(F.min("bin").alias("cut")))
-    return tested.join(cuts, "band", "left").where(F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
+    return tested.join(cuts, "band").where((F.col("bin") >= F.col("cut")) & (F.col("random_p") >= ODD))
 
 
 def _joined(spans: Column) -> Column:
@@ -120,7 +149,7 @@ def _joined(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """ROW, kind, start, end: all spans of all rows."""
-    rows = with_row_key(docs).select(*ROW, F.col(text_col).cast("string").alias("text"))
+    rows = with_row_key(docs, F.col(text_col).cast("string").alias("text"))
     base = materialise(union_all([_matches(rows, kind, *rule) for kind, rule in BASE.items()]).drop("found"))
     letters = F.length(F.regexp_replace("found", "[^A-Za-z]", "")) >= 2
     digits = F.length(F.regexp_replace("found", "[^0-9]", "")) >= 2
@@ -137,7 +166,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
     order = F.array(*(F.lit(k) for k in (*BASE, ADDED)))
     span = F.struct("start", F.array_position(order, F.col("kind")).alias("rank"), "end", "kind")
     by_row = secret_spans(docs).groupBy(*ROW).agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    named = with_row_key(docs).select(*ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    named = with_row_key(docs, F.col("doc_id").cast("long").alias("doc_id"))
     out = named.join(by_row, ROW, "left")
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string>>"))).select(

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, materialise, parts_for, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW, ROW_KEY, file_backed, materialise, parts_for, with_row_key, without_rows
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Widths of the three blocks.
@@ -37,7 +37,6 @@ BLOCKS = (22, 21, 21)
 HOT, SPLIT_BITS = 100_000, 8
 #: Pairs of nodes that are expanded at once, and the size up to which two nodes are compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 20, 16
-ROW = [FILE_KEY, ROW_KEY]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -64,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 made += [fingerprint(t or b"") for t in texts.slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.int64())], names=[*ROW, "doc_id", "fp"])
 
-    rows = with_row_key(docs).select(*ROW, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    rows = with_row_key(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"{FILE_KEY} long, {ROW_KEY} long, doc_id long, fp long")
 
 
@@ -225,5 +224,4 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
     stays = groups.groupBy("component_id").agg(F.min(who).alias("w"), F.count("*").alias("n")).where("n > 1").select("component_id", "w")
     gone = groups.alias("g").join(stays.alias("s"), F.col("g.component_id").eqNullSafe(F.col("s.component_id"))).where(~F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW).eqNullSafe(F.col("w"))).select(*ROW)
-    named = with_row_key(docs)
-    return named.join(gone, ROW, "left_anti").select(*(named[c] for c in docs.columns))
+    return without_rows(docs, gone)

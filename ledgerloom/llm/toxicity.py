@@ -1,11 +1,14 @@
 """Toxicity from subword-bag embeddings.
 
 A word is its lower-cased letters between markers, and its character n-grams; each has a vector in a hashed table. A
-word's vector is the mean of its own, a text's the mean over its words, and a linear softmax of that gives the score.
+word's vector is the mean of its own, a bag's the mean over its words, and a linear softmax of that gives the score.
 Table and softmax are trained together, in numpy, on a bounded sample of labelled documents. A misspelling that
-training never met still shares most n-grams with the word it was. A whole document is averaged in training; in
-scoring the mean is taken over every window of WINDOW words and the largest margin counts, as a few words in thousands
-would drown. A fifth of the sample, kept apart, sets slope and offset of that margin.
+training never met still shares most n-grams with the word it was.
+
+The bag that a document is judged by is its window of WINDOW words with the largest margin, as a few words in thousands
+would drown in the mean over all. Training comes to that in two steps: first on whole documents, whose labels are all
+there is, then on the window of each that the model so far finds worst, chosen again in every round, toxic or not. A
+fifth of the sample, kept apart, sets slope and offset of the margin.
 
 As the layer on top is linear, each n-gram adds one number to the difference of the two classes: scoring needs that
 number for each table row only, a few MB whatever the corpus, which goes to the executors with the task.
@@ -28,18 +31,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, hashed_sample, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW, ROW_KEY, file_backed, hashed_sample, materialise, with_row_key
 
 #: Bounds of the sample: documents of each class, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8_000_000
 BUCKETS, DIM = 1 << 18, 6
 NGRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE, DECAY, SCALE, DAMP, SEED = 16, 32, 0.5, 3e-5, 30.0, 1e-8, 7
-#: Rows that fewer of the sample's documents have are not trained.
-MIN_SHARE = 0.01
-WINDOW = 8
-#: Words a worker remembers, as they stand and bare: about 80 MB.
-REMEMBERED = 250_000
+WINDOW_SCALE, WINDOW_RATE = 8.0, 0.1
+#: Rows that fewer of the sample's documents have are not trained: they would teach those by heart.
+MIN_DOCS = 3
+WINDOW, ROUNDS, WINDOW_EPOCHS = 8, 2, 6
+#: What a worker remembers of words, as they stand and bare, and of their n-grams, in bytes, about.
+REMEMBERED_BYTES = 100 << 20
 EDGES = string.punctuation + "¡¿«»“”„’"
 
 
@@ -61,16 +65,16 @@ class Model:
         self.margin, self.bias = margin, bias
 
 
-def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the table, their weights and where each document's begin."""
-    known: dict[str, list[int]] = {}
+def _features(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the table, their weights and where each bag's begin."""
+    known: dict[bytes, list[int]] = {}
     rows, weights, begins = [], [], [0]
-    for t in texts:
-        words = Counter(t.split())
+    for bag_words in bags:
+        words = Counter(bag_words)
         n, bag = max(1, words.total()), Counter()
         for w, k in words.items():
             if (g := known.get(w)) is None:
-                known[w] = g = grams(w)
+                known[w] = g = grams(w.decode())
             for f in g:
                 bag[f] += k / (n * len(g))
         rows.append(np.fromiter(bag.keys(), np.int32, len(bag)))
@@ -79,55 +83,68 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(weights), np.array(begins)
 
 
+class Learner:
+    """The table and the softmax, with what their steps have added up to."""
+
+    def __init__(self) -> None:
+        self.rng = np.random.default_rng(SEED)
+        self.table = self.rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.out, self.bias = self.rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.seen_t = np.full((BUCKETS, 1), DAMP, np.float32)
+        self.seen_o, self.seen_b = np.full_like(self.out, 1e-8), np.full_like(self.bias, 1e-8)
+        self.trained = np.zeros(BUCKETS, bool)
+
+    def fit(self, bags: list[list[bytes]], y: np.ndarray, scale: float, epochs: int, rate: float) -> None:
+        """A bag's mean is scaled up so that steps are of use: of its words, hundreds in a document, a few matter."""
+        rows, weights, begins = _features(bags)
+        # A bag names each of its rows once.
+        self.trained |= np.bincount(rows, minlength=BUCKETS) >= MIN_DOCS
+        weights = np.where(self.trained[rows], weights, np.float32(0))
+        share = y.mean()
+        cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        for epoch in range(epochs):
+            order, now = self.rng.permutation(len(y)), rate * (1 - epoch / epochs)
+            for at in range(0, len(y), BATCH):
+                self._step(order[at : at + BATCH], rows, weights, begins, y, cost, scale, now)
+
+    def _step(self, docs: np.ndarray, rows: np.ndarray, weights: np.ndarray, begins: np.ndarray, y: np.ndarray, cost: np.ndarray, scale: float, rate: float) -> None:
+        spans = [np.arange(begins[d], begins[d + 1]) for d in docs]
+        lengths = np.array([len(s) for s in spans])
+        live, here = lengths > 0, np.concatenate(spans)
+        if not len(here):
+            return
+        r, w = rows[here], weights[here] * np.float32(scale)
+        bag = np.zeros((len(docs), DIM), np.float32)
+        bag[live] = np.add.reduceat(self.table[r] * w[:, None], np.r_[0, np.cumsum(lengths[live])[:-1]])
+        z = bag @ self.out + self.bias
+        dz = np.exp(z - z.max(axis=1, keepdims=True))
+        dz /= dz.sum(axis=1, keepdims=True)
+        dz[np.arange(len(docs)), y[docs].astype(int)] -= 1
+        dz *= cost[docs][:, None] / len(docs)
+        d_bag = dz @ self.out.T
+        d_out, d_bias = bag.T @ dz + DECAY * self.out, dz.sum(axis=0)
+        ids, inverse = np.unique(r, return_inverse=True)
+        doc_of = np.repeat(np.arange(len(docs)), lengths)
+        d_table = np.column_stack([np.bincount(inverse, w * d_bag[doc_of, k], len(ids)) for k in range(DIM)]).astype(np.float32) + DECAY * self.table[ids]
+        self.seen_t[ids] += (d_table**2).mean(axis=1, keepdims=True)
+        self.table[ids] -= rate * d_table / np.sqrt(self.seen_t[ids])
+        self.seen_o += d_out**2
+        self.out -= rate * d_out / np.sqrt(self.seen_o)
+        self.seen_b += d_bias**2
+        self.bias -= rate * d_bias / np.sqrt(self.seen_b)
+
+    def model(self, scale: float) -> Model:
+        return Model(scale * (self.table @ (self.out[:, 1] - self.out[:, 0])) * self.trained, float(self.bias[1] - self.bias[0]))
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
-    y = np.array(labels, np.float32)
-    rows, weights, begins = _features(texts)
-    rng = np.random.default_rng(SEED)
-    # A document names each of its rows once: rows that few documents have could only teach those by heart.
-    used, rows, in_docs = np.unique(rows, return_inverse=True, return_counts=True)
-    common = in_docs >= max(3, MIN_SHARE * len(y))
-    weights = np.where(common[rows], weights, np.float32(0))
-    table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    seen_t = np.full((len(used), 1), DAMP, np.float32)
-    seen_o, seen_b = np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
-    # A document's words are hundreds, of which a few matter: the mean is scaled up so that steps are of use.
-    scale = SCALE
-    share = y.mean()
-    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    for epoch in range(EPOCHS):
-        order, rate = rng.permutation(len(y)), RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(y), BATCH):
-            docs = order[at : at + BATCH]
-            spans = [np.arange(begins[d], begins[d + 1]) for d in docs]
-            lengths = np.array([len(s) for s in spans])
-            live = lengths > 0
-            here = np.concatenate(spans)
-            if not len(here):
-                continue
-            r, w = rows[here], weights[here] * scale
-            bag = np.zeros((len(docs), DIM), np.float32)
-            bag[live] = np.add.reduceat(table[r] * w[:, None], np.r_[0, np.cumsum(lengths[live])[:-1]])
-            z = bag @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            dz = p
-            dz[np.arange(len(docs)), y[docs].astype(int)] -= 1
-            dz *= cost[docs][:, None] / len(docs)
-            d_bag = dz @ out.T
-            d_out, d_bias = bag.T @ dz + DECAY * out, dz.sum(axis=0)
-            ids, inverse = np.unique(r, return_inverse=True)
-            doc_of = np.repeat(np.arange(len(docs)), lengths)
-            d_table = np.column_stack([np.bincount(inverse, w * d_bag[doc_of, k], len(ids)) for k in range(DIM)]).astype(np.float32) + DECAY * table[ids]
-            seen_t[ids] += (d_table**2).mean(axis=1, keepdims=True)
-            table[ids] -= rate * d_table / np.sqrt(seen_t[ids])
-            seen_o += d_out**2
-            out -= rate * d_out / np.sqrt(seen_o)
-            seen_b += d_bias**2
-            bias -= rate * d_bias / np.sqrt(seen_b)
-    margin = np.zeros(BUCKETS, np.float32)
-    margin[used] = scale * (table @ (out[:, 1] - out[:, 0])) * common
-    return Model(margin, float(bias[1] - bias[0]))
+    y, learner = np.array(labels, np.float32), Learner()
+    words = [t.encode().split() for t in texts]
+    learner.fit(words, y, SCALE, EPOCHS, RATE)
+    for _ in range(ROUNDS):
+        worst = Scorer(learner.model(WINDOW_SCALE))
+        learner.fit([w[slice(*worst.window(w))] for w in words], y, WINDOW_SCALE, WINDOW_EPOCHS, WINDOW_RATE)
+    return learner.model(WINDOW_SCALE)
 
 
 def calibrated(model: Model, texts: list[str], labels: list[int], prior: float) -> Model:
@@ -169,8 +186,10 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
     chosen = [hashed_sample(usable.where(F.col("__y") == y), ["__id"], SAMPLE_DOCS) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 4 * SAMPLE_DOCS rows at most
-    named = with_row_key(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), FILE_KEY, ROW_KEY)
-    sizes = named.join(few, "__id").select("__id", "__y", FILE_KEY, ROW_KEY, F.coalesce(F.length("__text"), F.lit(0)).alias("n")).collect()
+    named = with_row_key(docs, F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    found = named.join(few, "__id").select("__id", "__y", *ROW, F.coalesce(F.length("__text"), F.lit(0)).alias("n"))
+    # an id may stand for any number of rows: those that come first by their hash
+    sizes = hashed_sample(materialise(found), ["__id", *ROW], 4 * SAMPLE_DOCS).collect()
     sizes.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__id"], r[FILE_KEY], r[ROW_KEY]))
     taken, left = [], SAMPLE_CHARS
     for r in sizes:
@@ -180,7 +199,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     if not taken:
         return [], [], toxic / n if n else 0.0
     keys = F.broadcast(docs.sparkSession.createDataFrame(taken, f"{FILE_KEY} long, {ROW_KEY} long, __y int"))
-    rows = named.join(keys, [FILE_KEY, ROW_KEY]).select(FILE_KEY, ROW_KEY, "__text", "__y").collect()
+    rows = named.join(keys, ROW).select(*ROW, "__text", "__y").collect()
     rows.sort(key=lambda r: (r[FILE_KEY], r[ROW_KEY]))
     return [r["__text"] or "" for r in rows], [r["__y"] for r in rows], toxic / n
 
@@ -203,6 +222,7 @@ class Scorer:
         self.grams, self.bias = GramMargins(model.margin.tolist()), model.bias
         self.known: dict[bytes, float] = {}
         self.cores: dict[str, float] = {}
+        self.held = 0
 
     def word(self, raw: bytes) -> float:
         core = raw.decode().lower().strip(EDGES)
@@ -213,21 +233,35 @@ class Scorer:
             self.cores[core] = v = (whole + sum(parts)) / (1 + len(parts))
         return v
 
-    def __call__(self, text: bytes) -> float:
-        """Of the window of WINDOW words where it is largest. Shorter texts are filled up with words that say nothing."""
-        words, known = text.split(), self.known
+    def margins(self, words: list[bytes]) -> list[float]:
+        known = self.known
         try:
-            each = [known[w] for w in words]
+            return [known[w] for w in words]
         except KeyError:
-            if len(known) > REMEMBERED:
+            if self.held > REMEMBERED_BYTES:
                 known.clear()
-            for table in (self.cores, self.grams):
-                if len(table) > REMEMBERED:
-                    table.clear()
-            known.update((w, self.word(w)) for w in set(words).difference(known))
-            each = [known[w] for w in words]
-        total = np.cumsum([0.0, *each])
-        return (float((total[WINDOW:] - total[:-WINDOW]).max()) if len(each) >= WINDOW else float(total[-1])) / WINDOW + self.bias
+                self.cores.clear()
+                self.grams.clear()
+                self.held = 0
+            for w in set(words).difference(known):
+                known[w] = self.word(w)
+                self.held += 3 * len(w) + 400
+            return [known[w] for w in words]
+
+    def window(self, words: list[bytes]) -> tuple[int, int]:
+        """Begin and end of the window of WINDOW words where the mean is largest; of all words if they are no more."""
+        if len(words) <= WINDOW:
+            return 0, len(words)
+        total = np.cumsum([0.0, *self.margins(words)])
+        at = int(np.argmax(total[WINDOW:] - total[:-WINDOW]))
+        return at, at + WINDOW
+
+    def __call__(self, text: bytes) -> float:
+        words = text.split()
+        if not words:
+            return self.bias
+        total = np.cumsum([0.0, *self.margins(words)])
+        return (float((total[WINDOW:] - total[:-WINDOW]).max()) / WINDOW if len(words) >= WINDOW else float(total[-1]) / len(words)) + self.bias
 
 
 _scorers: dict[int, Scorer] = {}

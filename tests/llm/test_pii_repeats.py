@@ -11,7 +11,6 @@ def test_label_reaches_the_fortieth_repeat():
     assert len(links) == len(units.spans) - 1
     field = pii.Field()
     field.link[pii.SAME] = 6 * np.eye(len(pii.LABELS))
-    x = np.zeros((len(units.spans), pii.N_FEATURES))
-    x[0, 33], field.unit[33, 3] = 1, 8
-    p = field.marginals(x, links)
+    field.unit[33, 3] = 8
+    p = field.marginals([[33]] + [[1]] * (len(units.spans) - 1), links)
     assert p[-1].argmax() == 3 and p[-1, 3] > 0.8

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import queries, simhash, toxicity
+from ledgerloom.llm import queries, toxicity
 from ledgerloom.llm.common import documents, materialise
 
 from fixtures_llm import COLUMNS, PROSE
@@ -64,12 +64,17 @@ def test_stages(spark, corpus):
 
     single = materialise(stages["near_dedup"](spark, unique, corpus))
     rows = sorted(unique.collect(), key=lambda r: r.doc_id)
-    fps = np.array([simhash.fingerprint((r.text or "").encode()) for r in rows]).view(np.uint64)
-    root = list(range(len(rows)))
+
+    def shingles(t):
+        w = lower(t).encode().split()
+        return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set()
+
+    sets, root = [shingles(r.text) for r in rows], list(range(len(rows)))
     for _ in rows:
-        for i in range(len(rows)):
-            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2):
-                root[i] = min(root[i], root[j])
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    root[i] = min(root[i], root[j])
     assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted({rows[i].doc_id for i in root})
 
     mixed = materialise(stages["mix_sources"](spark, single, corpus))
