@@ -503,7 +503,7 @@ def test_a_line_needs_a_template_of_its_own(frame):
     """Parts that recur in different lines make no template."""
     a = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     b = "alpha beta gamma one two three four five six seven eight nine".split()
-    docs = [(k, " ".join(a), "en", "a", 1) for k in range(2)] + [(2, " ".join(a[:6] + b[6:]), "en", "a", 1)] + [(k, " ".join(b) + f"\nown{k}", "en", "a", 1) for k in range(4, 6)]
+    docs = [(k, " ".join(a), "en", "a", 1) for k in range(2)] + [(2, " ".join(a[:6] + b[6:10] + ["own", "end"]), "en", "a", 1)] + [(k, " ".join(b) + f"\nown{k}", "en", "a", 1) for k in range(4, 6)]
     docs = [(d, f"{t}\nown line {'abcdefgh'[d]}", *r) for d, t, *r in docs]
     rows = {r.doc_id: r.n_dropped for r in line_dedup.drop_template_lines(frame(docs)).collect()}
     assert rows == {0: 0, 1: 0, 2: 0, 4: 0, 5: 0}
