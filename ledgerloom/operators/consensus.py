@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import near_strings as near
+
 
 @dataclass(frozen=True)
 class VoteConfig:
@@ -39,11 +41,6 @@ def vote_groups(candidates: DataFrame) -> DataFrame:
     )
 
 
-def near(a: Column, b: Column) -> Column:
-    """Apart by one edit, and neither kept as raw text."""
-    return ~a.startswith("RAW:") & ~b.startswith("RAW:") & (F.levenshtein(a, b) == 1)
-
-
 def balanced_values(docs: DataFrame) -> Column:
     """Values of ``groups`` (array of a document's vote groups) in a subtotal + tax = total that was read."""
     of = lambda f: F.filter("groups", lambda g: g["field"] == f)

@@ -61,9 +61,9 @@ def vote_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of values of a field of a document at edit distance one."""
-    groups = C.vote_groups(X.readings(spark, sf_dir)).groupBy("doc", "field").agg(F.collect_list("norm").alias("v"))
-    one = groups.select("doc", "field", "v", F.explode("v").alias("a"))
-    return one.select("doc", "field", "a", F.explode(F.filter("v", lambda b: (b > F.col("a")) & C.near(F.col("a"), b))).alias("b"))
+    values = C.vote_groups(X.readings(spark, sf_dir)).select("doc", "field", "norm")
+    pair = values.select("doc", "field", F.col("norm").alias("a")).join(values.withColumnRenamed("norm", "b"), ["doc", "field"])
+    return pair.where((F.col("b") > F.col("a")) & C.near(F.col("a"), F.col("b")))
 
 
 def three_way_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,9 @@ SELECT doc, subtotal, tax, total IS NULL AND tax IS NULL AND subtotal IS NOT NUL
 acc AS (SELECT param_id, field, avg((value IS NOT DISTINCT FROM gold)::INTEGER) AS acc, count(*) AS n FROM won JOIN {_TRUTH} USING (doc, field) GROUP BY ALL),
 obj AS (SELECT param_id, round(avg(acc), 9) AS macro, round(min(acc), 9) AS worst, round(sum(acc * n) / sum(n), 9) AS "global" FROM acc GROUP BY ALL)
 SELECT *, row_number() OVER (ORDER BY macro DESC, worst DESC, "global" DESC, param_id) AS place FROM obj""",
-    "fuzzy_pairs": "WITH " + X.READINGS_SQL + ", g AS (SELECT DISTINCT doc, field, norm FROM readings) SELECT a.doc, a.field, a.norm AS a, b.norm AS b FROM g a JOIN g b ON a.doc = b.doc AND a.field = b.field AND a.norm < b.norm AND levenshtein(a.norm, b.norm) = 1",
+    "fuzzy_pairs": "WITH " + X.READINGS_SQL + """, g AS MATERIALIZED (SELECT DISTINCT doc, field, norm FROM readings),
+p AS MATERIALIZED (SELECT a.doc, a.field, a.norm AS a, b.norm AS b FROM g a JOIN g b ON a.doc = b.doc AND a.field = b.field)
+SELECT * FROM p WHERE a < b AND abs(length(a) - length(b)) <= 1 AND levenshtein(a, b) = 1""",
     "three_way_balance": "WITH " + RANKED_SQL + " SELECT doc, s AS subtotal, t AS tax, s + t AS total FROM bal",
     "alert_counts": VOTE_SQL + " SELECT field, 'ambiguous_consensus' AS kind, count(*) AS n FROM voted WHERE ambiguous GROUP BY field UNION ALL SELECT field, 'low_agreement', count(*) FROM voted WHERE confianza = 'baja' GROUP BY field",
     "view_agreement": "WITH " + X.READINGS_SQL + ", c AS (SELECT doc, field, norm, count(DISTINCT view) AS n FROM readings GROUP BY ALL), p AS (SELECT doc, field, count(*) AS vals, sum(n) AS votes, max(n) AS top FROM c GROUP BY ALL) SELECT field, count(*) AS docs, count(*) FILTER (vals >= 2 AND votes >= 4 AND top / votes < 0.75) AS disagree FROM p GROUP BY field",
