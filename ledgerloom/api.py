@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
+from ledgerloom.lineage import cut
 from ledgerloom.operators import candidates as K
 from ledgerloom.operators import consensus as C
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import layout as L
+from ledgerloom.operators import reading as R
 from ledgerloom.schema import FIELDS, MONEY
 
 
@@ -29,7 +31,7 @@ class Config:
 
 def candidates(words: DataFrame, config: Config = Config()) -> DataFrame:
     """Every value that a view proposes for a field. words: see schema.WORDS."""
-    rows = L.visual_rows(words)
+    rows = cut(L.visual_rows(words))
     parts = [L.labelled_amounts(rows), L.arithmetic_rows(rows), L.cash_totals(rows), K.dates(rows, config.date_order), K.identifiers(rows), K.table_columns(rows), K.aligned_below(rows), K.deposit_and_balance(rows)]
     found = parts[0]
     for p in parts[1:]:
@@ -39,12 +41,20 @@ def candidates(words: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def extract(words: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row a document and field that any view proposed: value (null where it abstains), confidence, alert."""
+    """One row a document and field: value (null where it abstains), confidence, alert."""
     views = words.groupBy(F.col("doc_id").alias("doc")).agg(F.count_distinct("view").alias("n_all"))
-    won = C.elect(C.ranked_groups(candidates(words, config), config.vote)).join(views, "doc")
+    read = R.read_fields(words, candidates(words, config), config.vote).join(views, "doc")
     agreement = F.col("n_views") / F.col("n_all")
-    level = F.when(F.col("value").isNull(), "sin_valor").when(agreement >= config.high, "alta").when(agreement >= config.medium, "media").otherwise("baja")
-    return won.select("doc", "field", "value", level.alias("confidence"), F.when(F.col("ambiguous"), F.concat("field", F.lit(":ambiguous_consensus"))).alias("alert"))
+    high, medium = agreement >= config.high, agreement >= config.medium
+    step = F.when(high, 2).when(medium, 1).otherwise(0) - F.col("alert").isNotNull().cast("int")  # an alert takes a level
+    level = F.when(F.col("value").isNull(), "sin_valor").when(step >= 2, "alta").when(step == 1, "media").otherwise("baja")
+    return read.select("doc", "field", "value", level.alias("confidence"), "alert")
+
+
+def rescued(words: DataFrame, config: Config = Config()) -> DataFrame:
+    """doc, field, value, rescued: what extract leaves empty, by a second vote that counts words by confidence."""
+    found = cut(candidates(words, config))
+    return R.rescue(R.read_fields(words, found, config.vote).select("doc", "field", "value"), words, found, config.vote)
 
 
 def documents(fields: DataFrame) -> DataFrame:
@@ -73,5 +83,5 @@ class Reader:
         return validate(documents(extract(words, self.config)), self.config)
 
     def about(self) -> dict[str, object]:
-        on = [k for k in ("fuzzy", "dominance", "balance") if getattr(self.config.vote, k)]
+        on = [k for k in ("fuzzy", "dominance", "balance", "printed", "paid", "semantic", "geometry", "consistency", "accounting") if getattr(self.config.vote, k)]
         return {"fields": list(FIELDS), "enabled": on, "date_order": self.config.date_order, "decimal_separator": self.config.decimal_separator}

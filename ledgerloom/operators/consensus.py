@@ -24,9 +24,17 @@ class VoteConfig:
     fuzzy_weight: float = 0.5
     balance_bonus: float = 3.0
     dominant_score: int = 8
+    printed_bonus: float = 3.0
+    paid_bonus: float = 2.0
     fuzzy: bool = True
     dominance: bool = True
     balance: bool = True
+    printed: bool = True
+    paid: bool = True
+    semantic: bool = True
+    geometry: bool = True
+    consistency: bool = True
+    accounting: bool = True
 
 
 def mask_weight(mask: Column, cfg: VoteConfig) -> Column:
@@ -34,11 +42,42 @@ def mask_weight(mask: Column, cfg: VoteConfig) -> Column:
     return F.bit_count(mask) + (cfg.primary_weight - 1) * F.bit_count(mask.bitwiseAND(F.lit(cfg.primary_mask).cast("long")))
 
 
+def primary_views(options: DataFrame, preprocess: str = "resize", psm: int = 6) -> int:
+    """options: view, preprocess, psm, one row a view of the run. The mask of the views read in the primary way."""
+    rows = options.where((F.col("preprocess") == preprocess) & (F.col("psm") == psm)).select("view").distinct().limit(MOST_VIEWS).collect()
+    return sum(1 << r["view"] for r in rows)
+
+
+#: A set of views is a mask in a long.
+MOST_VIEWS = 63
+
+
 def vote_groups(candidates: DataFrame) -> DataFrame:
     """candidates: doc, field, view, norm, cents, score. One row per doc, field and value: views (mask) and best score."""
-    return candidates.groupBy("doc", "field", "norm").agg(
-        F.max("score").alias("score"), F.max("cents").alias("cents"), F.bit_or(F.expr("shiftleft(cast(1 as bigint), view)")).alias("views")
-    )
+    bit = F.when(F.col("view").between(0, MOST_VIEWS - 1), F.expr("shiftleft(cast(1 as bigint), view)")).otherwise(F.raise_error(F.concat(F.lit(f"view not in 0 to {MOST_VIEWS - 1}: "), F.col("view").cast("string"))).cast("long"))
+    return candidates.groupBy("doc", "field", "norm").agg(F.max("score").alias("score"), F.max("cents").alias("cents"), F.bit_or(bit).alias("views"))
+
+
+def confidence_votes(candidates: DataFrame, words: DataFrame, cfg: VoteConfig) -> DataFrame:
+    """doc, field, norm, sure: votes weighted by half and the best confidence of a word of the view that says the value.
+
+    candidates with raw; words: doc, view, key (folded text), confidence in percent.
+    """
+    told = candidates.select("doc", "field", "norm", "view", F.col("raw").alias("key")).distinct()
+    best = told.join(words.select("doc", "view", "key", "confidence"), ["doc", "view", "key"], "left").groupBy("doc", "field", "norm", "view").agg(F.coalesce(F.max("confidence") / 100, F.lit(0.0)).alias("c"))
+    weight = F.when(F.expr("shiftleft(cast(1 as bigint), view)").bitwiseAND(F.lit(cfg.primary_mask).cast("long")) != 0, cfg.primary_weight).otherwise(1.0)
+    return best.groupBy("doc", "field", "norm").agg(F.sum(weight * (0.5 + F.col("c"))).alias("sure"))
+
+
+def corroborated(ranked: DataFrame, candidates: DataFrame, paid: DataFrame, cfg: VoteConfig) -> DataFrame:
+    """The rank of subtotals that stand beside their printed label, and of totals that were paid, goes up.
+
+    candidates with rule; paid: doc, norm. Both tables come together by document, where the vote is already dealt out.
+    """
+    printed = candidates.where("field = 'subtotal' and rule = 'beside_label'").select("doc", "field", "norm", F.lit(cfg.printed_bonus if cfg.printed else 0.0).alias("bonus"))
+    settled = paid.select("doc", F.lit("total").alias("field"), "norm", F.lit(cfg.paid_bonus if cfg.paid else 0.0).alias("bonus"))
+    more = printed.unionByName(settled).groupBy("doc", "field", "norm").agg(F.max("bonus").alias("bonus"))
+    return ranked.join(more, ["doc", "field", "norm"], "left").withColumn("rank", F.col("rank") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
 
 
 def balanced_values(docs: DataFrame) -> Column:
@@ -88,3 +127,10 @@ def total_from_subtotal(fields: DataFrame) -> DataFrame:
     """fields: one row per doc with subtotal, tax, total. A receipt with neither tax nor total has its subtotal as total."""
     alone = F.col("total").isNull() & F.col("tax").isNull() & F.col("subtotal").isNotNull()
     return fields.withColumn("from_subtotal", alone).withColumn("total", F.when(alone, F.col("subtotal")).otherwise(F.col("total")))
+
+
+def withdraw_unconfirmed(fields: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """A total that is only the subtotal again goes, with an alert, unless a later stage (confirmed: doc, total) has it."""
+    joined = fields.join(confirmed.select("doc", F.col("total").alias("seen")), "doc", "left")
+    gone = F.col("from_subtotal") & ~F.col("total").eqNullSafe(F.col("seen"))
+    return joined.withColumn("alert", F.when(gone, "total:subtotal_no_confirma_total")).withColumn("total", F.when(gone, None).otherwise(F.col("total"))).drop("seen")

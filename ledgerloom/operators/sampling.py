@@ -34,7 +34,9 @@ def hash_split(rows: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFr
 
 
 def first_of_copies(rows: DataFrame, *order: Column | str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("sha256").orderBy(*order))).where("__n = 1").drop("__n")
+    """One row of each hash; rows without one are copies of nothing and all stay."""
+    some = rows.where(F.col("sha256").isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy("sha256").orderBy(*order))).where("__n = 1").drop("__n")
+    return some.unionByName(rows.where(F.col("sha256").isNull()))
 
 
 def unseen_inventory(rows: DataFrame, seen: DataFrame) -> DataFrame:

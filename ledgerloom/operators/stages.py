@@ -76,9 +76,8 @@ def review_notes(alerts: Column, ambiguous_date: Column, balance: Column, n_fiel
     return F.array_compact(F.concat(alerts, F.array(F.when(ambiguous_date, "date:ambiguous_order"), F.when(balance == "inconsistent_review", "amounts:inconsistent"), F.when(n_fields == 0, "page:no_fields"))))
 
 
-def explain_alert(code: Column, texts: DataFrame) -> Column:
-    """field:kind to its parts; unknown kinds keep a general text. texts is a small table, collected once."""
-    known = {r["kind"]: r["text"] for r in texts.limit(1000).collect()}
-    kind = F.element_at(F.split(code, ":"), -1)
-    lookup = F.create_map(*(x for k, v in known.items() for x in (F.lit(k), F.lit(v)))) if known else F.create_map(F.lit(""), F.lit(""))
-    return F.struct(F.element_at(F.split(code, ":"), 1).alias("field"), kind.alias("kind"), F.coalesce(F.try_element_at(lookup, kind), F.lit("check this value")).alias("text"))
+def explain_alerts(alerts: DataFrame, texts: DataFrame) -> DataFrame:
+    """alerts: doc, alert as field:kind. texts: kind, text, one row a kind, any number. Unknown kinds get a general text."""
+    parts = F.split("alert", ":")
+    named = alerts.select("doc", F.element_at(parts, 1).alias("field"), F.element_at(parts, -1).alias("kind"))
+    return named.join(texts, "kind", "left").select("doc", "field", "kind", F.coalesce("text", F.lit("check this value")).alias("text"))

@@ -9,7 +9,8 @@ from ledgerloom.operators import evaluation as E
 from ledgerloom.plans import fixtures as X
 from ledgerloom.schema import FIELDS
 
-REPS = 200
+#: Draws of an interval, and of the interval of a difference.
+REPS, DELTA_REPS = 2000, 1000
 
 
 def detail_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +86,12 @@ def _per_doc(d: DataFrame, num: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.bootstrap(_per_doc(X.detail(spark, sf_dir), "correct"), REPS, 42, 100)
+    return E.bootstrap(_per_doc(X.detail(spark, sf_dir), "correct"), REPS, 42)
 
 
 def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.detail(spark, sf_dir).withColumn("delta", F.when(F.col("id") % 5 == 0, 1 - F.col("correct")).otherwise(0))
-    return E.bootstrap(_per_doc(d, "delta"), REPS, 4242, 100)
+    return E.bootstrap(_per_doc(d, "delta"), DELTA_REPS, 4242)
 
 
 def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +178,13 @@ def _review(check: float, name: str = "rt") -> str:
   SELECT n * 9.0::DOUBLE AS m, unnest(['manual', 'completa', 'guiada']) AS forma, unnest([n * 9.0::DOUBLE, n * {check}::DOUBLE + eq * 9.0::DOUBLE + om * 9.0::DOUBLE, low * {check}::DOUBLE + fix * 9.0::DOUBLE]) AS segundos, unnest([0.0::DOUBLE, 0.0::DOUBLE, sil * 100]) AS errores_100 FROM {name}_m))"""
 
 
-def _boot(num: str, seed: int) -> str:
+def _boot(num: str, seed: int, reps: int) -> str:
     return f""",
 per AS (SELECT dataset, id, sum({num}) AS num, count(*) AS den FROM detail GROUP BY ALL),
-bk AS (SELECT dataset, ('0x' || substr(sha256(id::VARCHAR), 1, 8))::BIGINT % 100 AS bucket, sum(num) AS num, sum(den) AS den FROM per GROUP BY ALL),
+bk AS (SELECT dataset, ('0x' || substr(sha256(id::VARCHAR), 1, 8))::BIGINT % 1000 AS bucket, sum(num) AS num, sum(den) AS den FROM per GROUP BY ALL),
 pl AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY bucket) - 1 AS pos, count(*) OVER (PARTITION BY dataset) AS n FROM bk),
 dr AS (SELECT dataset, rep, ('0x' || substr(sha256(concat_ws(':', '{seed}', dataset, rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % n AS pos
-  FROM (SELECT dataset, n, rep, unnest(range(n)) AS k FROM (SELECT DISTINCT dataset, n FROM pl), (SELECT unnest(range({REPS})) AS rep))),
+  FROM (SELECT dataset, n, rep, unnest(range(n)) AS k FROM (SELECT DISTINCT dataset, n FROM pl), (SELECT unnest(range({reps})) AS rep))),
 mv AS (SELECT rep, sum(num) / sum(den) AS v FROM dr JOIN pl USING (dataset, pos) GROUP BY rep),
 boot AS (SELECT quantile_cont(v, 0.025) * 100 AS inferior, quantile_cont(v, 0.975) * 100 AS superior, count(*) AS reps, (SELECT sum(num) / sum(den) * 100 FROM per) AS punto FROM mv)"""
 
@@ -212,9 +213,9 @@ SELECT count(*) AS documentos, avg(n) AS campos_por_documento, avg((ok = n)::INT
     "time_sensitivity": D + "".join(_review(2.5 * f, f"r{k}") for k, f in enumerate((0.5, 1.0, 2.0))) + " " + " UNION ALL ".join(f"SELECT {2.5 * f}::DOUBLE AS verificar_s, segundos, ahorro_pct FROM r{k} WHERE forma = 'completa'" for k, f in enumerate((0.5, 1.0, 2.0))),
     "subgroups": D + _SUB + " SELECT * FROM sub",
     "gains_losses": D + ", p AS (SELECT *, CASE WHEN id % 5 = 0 THEN 1 ELSE correct END AS b FROM detail) SELECT field, count(*) FILTER (correct = 0 AND b = 1) AS ganados, count(*) FILTER (correct = 1 AND b = 0) AS perdidos, sum(b - correct)::BIGINT AS delta FROM p GROUP BY field",
-    "bootstrap_ci": D + _boot("correct", 42) + " SELECT * FROM boot",
-    "bootstrap_delta": D + _boot(_DELTA, 4242) + " SELECT * FROM boot",
-    "adoption": D + _boot(_DELTA, 4242) + ", w AS (SELECT min(b) AS peor_antes, min(a) AS peor_despues FROM (SELECT avg(correct) AS b, avg(CASE WHEN id % 5 = 0 THEN 1 ELSE correct END) AS a FROM detail GROUP BY dataset, field)) SELECT inferior, peor_antes, peor_despues, inferior > 0 AND peor_despues >= peor_antes AS adoptar FROM boot, w",
+    "bootstrap_ci": D + _boot("correct", 42, REPS) + " SELECT * FROM boot",
+    "bootstrap_delta": D + _boot(_DELTA, 4242, DELTA_REPS) + " SELECT * FROM boot",
+    "adoption": D + _boot(_DELTA, 4242, DELTA_REPS) + ", w AS (SELECT min(b) AS peor_antes, min(a) AS peor_despues FROM (SELECT avg(correct) AS b, avg(CASE WHEN id % 5 = 0 THEN 1 ELSE correct END) AS a FROM detail GROUP BY dataset, field)) SELECT inferior, peor_antes, peor_despues, inferior > 0 AND peor_despues >= peor_antes AS adoptar FROM boot, w",
     "scenario_verdict": "WITH " + X.READINGS_SQL + """, v AS (SELECT g.doc, g.field, g.cents AS want, x.view FROM gold g, (SELECT unnest(range(4))::INTEGER AS view) x),
 e AS (SELECT 'v' || view::VARCHAR AS escenario, avg(coalesce(cents = want, false)::INT) * 100 AS exactitud, avg(coalesce(cents <> want AND score >= 8, false)::INT) * 100 AS silenciosos, avg((cents IS NOT NULL)::INT) * 100 AS procesados FROM v LEFT JOIN readings USING (doc, field, view) GROUP BY view),
 c AS (SELECT *, (SELECT exactitud FROM e WHERE escenario = 'v0') - exactitud AS caida_pp FROM e)

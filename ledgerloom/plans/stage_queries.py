@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import layout, learning
+from ledgerloom import api
+from ledgerloom.operators import consensus, layout, learning
 from ledgerloom.operators import stages as S
 from ledgerloom.plans import fixtures as X
 from ledgerloom.plans import vote_queries as V
@@ -74,6 +75,36 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.labelled_amounts(layout.visual_rows(_pages(spark, sf_dir))).select("doc_id", "view", "row_no", "field", "norm", "score", "rule")
 
 
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed pages through the whole reader: candidates, vote, corroboration, stages, validation."""
+    docs = api.Reader().read(_pages(spark, sf_dir))
+    return docs.select("doc", "subtotal", "tax", "total", F.col("state_amount_balance").alias("balance"))
+
+
+def paid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with two totals as often read, one of which was paid in cash: payment settles it."""
+    r = X.receipts(spark, sf_dir).where("total > 1000")
+    lines = F.array(F.concat(F.lit("TOTAL "), X.money_text(F.col("total"))), F.concat(F.lit("TOTAL "), X.money_text(F.col("total") + 777)), F.concat(F.lit("CASH "), X.money_text(F.col("total"))))
+    found = api.extract(_words(r.select("doc", lines.alias("lines"))), api.Config(vote=consensus.VoteConfig(primary_mask=1)))
+    return found.where("field = 'total'").select("doc", "value", "confidence")
+
+
+def third_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that name subtotal and total and print the tax without its label: the third amount is found by arithmetic."""
+    r = X.receipts(spark, sf_dir).where("tax > 1000")
+    lines = F.array(F.concat(F.lit("SUBTOTAL "), X.money_text(F.col("subtotal"))), F.concat(F.lit("plus "), X.money_text(F.col("tax")), F.lit(" for the state and the county")), F.concat(F.lit("GRAND TOTAL "), X.money_text(F.col("total"))))
+    found = api.extract(_words(r.select("doc", lines.alias("lines"))))
+    return found.where("field in ('subtotal', 'tax', 'total')").select("doc", "field", "value", "alert")
+
+
+def _words(pages: DataFrame) -> DataFrame:
+    """doc, lines to the words of two equal views, ten pixels a letter and thirty a row."""
+    each = pages.withColumn("view", F.explode(F.array(F.lit(0), F.lit(1)))).select("doc", "view", F.posexplode("lines").alias("row", "line"))
+    word = each.select("doc", "view", "row", "line", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    x0 = 10.0 * F.length(F.array_join(F.slice(F.split("line", " "), 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 10.0).otherwise(0.0)
+    return word.select(F.col("doc").cast("string").alias("doc_id"), "view", (F.col("row") * 100 + F.col("k")).cast("int").alias("word_no"), "text", x0.alias("x0"), (F.col("row") * 30.0).alias("y0"), (x0 + 10.0 * F.length("text")).alias("x1"), (F.col("row") * 30.0 + 20).alias("y1"), F.lit(90.0).alias("confidence"), F.col("row").cast("string").alias("line_id"))
+
+
 def reread_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.rescue_reasons(_pages(spark, sf_dir)).select("doc_id", F.array_join("reasons", ";").alias("reasons"))
 
@@ -95,7 +126,8 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R = "WITH " + X.READINGS_SQL
-QUERIES = {f.__name__: f for f in (semantic_amounts, observed_accounting, third_amount, focused_agreement, rescue_nulls, main_evidence, nearest_number, page_candidates, reread_reasons, tfidf_lines, line_positions, weak_labels)}
+QUERIES = {f.__name__: f for f in (read_pages, paid_totals, third_from_pages, semantic_amounts, observed_accounting, third_amount, focused_agreement, rescue_nulls, main_evidence, nearest_number, page_candidates, reread_reasons, tfidf_lines, line_positions, weak_labels)}
+_M = "({0} // 100)::VARCHAR || '.' || lpad(({0} % 100)::VARCHAR, 2, '0')"
 ORACLES = {
     "semantic_amounts": R + """, v AS (SELECT doc, field, norm, max(score + 2) AS quality, count(DISTINCT view) AS views FROM readings WHERE view < 3 GROUP BY ALL), c AS (SELECT doc, field, norm AS value FROM readings WHERE view = 0),
 s AS (SELECT v.*, value, round(quality + 2 * log2(1.0 + views), 9)::DOUBLE AS score FROM v LEFT JOIN c USING (doc, field) WHERE views >= 2 OR (quality >= 9 AND (value IS NULL OR value = norm))),
@@ -117,6 +149,9 @@ b AS (SELECT doc_id, view, min(k) * 10.0::DOUBLE AS y0 FROM l GROUP BY ALL),
 c AS (SELECT doc_id, view, value, abs(y - (y0 + 6)) / 12 + 0.002::DOUBLE * (x0 - 100) - 0.002::DOUBLE * conf AS cost FROM l JOIN b USING (doc_id, view) WHERE x0 >= 97 AND abs(y - (y0 + 6)) <= 14.4::DOUBLE),
 n AS (SELECT *, row_number() OVER w AS k, lead(cost) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY doc_id, view ORDER BY cost, value))
 SELECT doc_id, view, 'total' AS field, value, round(cost, 6) AS cost FROM n WHERE k = 1 AND (nxt IS NULL OR nxt - cost > 0.3::DOUBLE)""",
+    "read_pages": "WITH " + X.RECEIPTS_SQL + f""" SELECT doc::VARCHAR AS doc, {_M.format('subtotal')} AS subtotal, {_M.format('tax')} AS tax, {_M.format('total')} AS total, 'consistent' AS balance FROM receipts WHERE total > 0""",
+    "paid_totals": "WITH " + X.RECEIPTS_SQL + f""" SELECT doc::VARCHAR AS doc, {_M.format('total')} AS value, 'alta' AS confidence FROM receipts WHERE total > 1000""",
+    "third_from_pages": "WITH " + X.RECEIPTS_SQL + f""" SELECT doc::VARCHAR AS doc, unnest(['subtotal', 'tax', 'total']) AS field, unnest([{_M.format('subtotal')}, {_M.format('tax')}, {_M.format('total')}]) AS value, unnest([NULL, 'tax:third_amount', NULL]) AS alert FROM receipts WHERE tax > 1000""",
     "page_candidates": "WITH " + X.RECEIPTS_SQL + """, p AS (SELECT doc::VARCHAR AS doc_id, view, unnest([1, 2, 3])::INTEGER AS row_no, unnest(['subtotal', 'tax', 'total']) AS field, unnest([subtotal, tax, total]) AS cents, unnest([7, 7, CASE WHEN view = 0 THEN 8 ELSE 6 END]) AS score FROM receipts, (SELECT unnest([0, 1])::INTEGER AS view) WHERE total > 0)
 SELECT doc_id, view, row_no, field, (cents // 100)::VARCHAR || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS norm, score, 'beside_label' AS rule FROM p""",
     "reread_reasons": "WITH " + X.RECEIPTS_SQL + " SELECT doc::VARCHAR AS doc_id, 'few_words' AS reasons FROM receipts WHERE total > 0",

@@ -51,3 +51,47 @@ def test_tuning(spark):
     assert pd[3.0] > pd[0.0]
     imp = {r.parameter: r.importance for r in tuning.permutation_importance(model, trials, ["a", "b"], "m", 3).collect()}
     assert imp["a"] > imp["b"]
+
+
+def read(spark, *views, **config):
+    return {r.field: (r.value, r.alert) for r in api.extract(page(spark, list(views)), api.Config(**config)).collect()}
+
+
+def test_payment_settles_rounding(spark):
+    lines = ["total 27.28", "rounded total 27.30", "cash 50.00", "change 22.70"]
+    assert read(spark, lines, lines)["total"][0] == "27.30"
+
+
+def test_a_total_is_one_that_was_read(spark):
+    lines = ["cash 200.00", "change 16.00", "total 190.00"]
+    assert read(spark, lines, lines)["total"][0] == "190.00"
+
+
+def test_three_amounts_in_a_row(spark):
+    lines = ["1,39 11,61 13,00"]
+    got = read(spark, lines, lines)
+    assert (got["subtotal"][0], got["tax"][0], got["total"][0]) == ("11.61", "1.39", "13.00")
+    assert read(spark, ["1,39 11,61 13,01", "total 5.00"])["tax"][0] is None
+
+
+def test_two_totals_are_a_doubt(spark):
+    assert read(spark, ["TOTAL 20.00", "TOTAL 30.00"])["total"] == (None, "total:ambiguous_consensus")
+
+
+def test_rescue_counts_words_by_confidence(spark):
+    words = page(spark, [["total 20.00"], ["total 20.00"], ["total 30.00"], ["total 30.00"]]).withColumn("confidence", F.when(F.col("view") < 2, 95.0).otherwise(40.0))
+    assert api.extract(words).where("field = 'total'").first()["value"] is None
+    got = api.rescued(words).where("field = 'total'").first()
+    assert (got["value"], got["rescued"]) == ("20.00", True)
+
+
+def test_views_beyond_a_mask_are_an_error(spark):
+    import pytest
+
+    from ledgerloom.operators import consensus
+
+    rows = spark.createDataFrame([("d", "total", 64, "1.00", 100, 6)], "doc string, field string, view int, norm string, cents long, score int")
+    with pytest.raises(Exception, match="view not in"):
+        consensus.vote_groups(rows).collect()
+    options = spark.createDataFrame([(0, "resize", 6), (1, "resize", 4), (5, "resize", 6)], "view int, preprocess string, psm int")
+    assert consensus.primary_views(options) == (1 << 0) | (1 << 5)
