@@ -43,7 +43,7 @@ WINDOW_SCALE, WINDOW_RATE = 8.0, 0.1
 MIN_DOCS = 3
 WINDOW, ROUNDS, WINDOW_EPOCHS = 8, 2, 6
 #: What a worker remembers of words, as they stand and bare, and of their n-grams, in bytes, about.
-REMEMBERED_BYTES = 100 << 20
+REMEMBERED_BYTES = 56 << 20
 EDGES = string.punctuation + "¡¿«»“”„’"
 
 
@@ -238,14 +238,14 @@ class Scorer:
         try:
             return [known[w] for w in words]
         except KeyError:
-            if self.held > REMEMBERED_BYTES:
+            if self.held + 330 * len(known) + 160 * len(self.grams) > REMEMBERED_BYTES:
                 known.clear()
                 self.cores.clear()
                 self.grams.clear()
                 self.held = 0
             for w in set(words).difference(known):
                 known[w] = self.word(w)
-                self.held += 3 * len(w) + 400
+                self.held += 3 * len(w)
             return [known[w] for w in words]
 
     def window(self, words: list[bytes]) -> tuple[int, int]:
