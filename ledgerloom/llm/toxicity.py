@@ -302,7 +302,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") ->
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin = scorer(model)
+        margin = Scorer(model)  # gone with the task: the stages that follow need the worker's memory
         for b in batches:
             texts = b.column(schema.fieldNames().index(text_col)).cast(pa.binary())
             for at in range(0, b.num_rows, 256):
