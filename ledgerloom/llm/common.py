@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +161,16 @@ def hashed_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int((1 << 40) * n / rows)).limit(2 * n)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine: the worker outlives the task and other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW, ROW_KEY, file_backed, hashed_sample, materialise, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW, ROW_KEY, file_backed, give_back, hashed_sample, materialise, with_row_key
 
 #: Bounds of the sample: documents of each class, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8_000_000
@@ -308,5 +308,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") ->
             for at in range(0, b.num_rows, 256):
                 some = texts.slice(at, 256).to_pylist()
                 yield b.slice(at, 256).filter(pa.array([margin(t or b"") < 0 for t in some]))
+        del margin
+        give_back()
 
     return docs.mapInArrow(run, schema)
