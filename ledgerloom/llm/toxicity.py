@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +41,9 @@ WINDOW_SCALE, WINDOW_RATE = 8.0, 0.1
 #: Rows that fewer of the sample's documents have are not trained: they would teach those by heart.
 MIN_DOCS = 3
 WINDOW, ROUNDS, WINDOW_EPOCHS = 8, 2, 6
-#: What a worker remembers of words, as they stand and bare, and of their n-grams, in bytes, about.
-REMEMBERED_BYTES = 56 << 20
+#: What a worker remembers of words, in bytes, about; words hashed at once, and texts scored at once.
+REMEMBERED_BYTES = 40 << 20
+AT_ONCE, TEXTS = 1 << 14, 256
 EDGES = string.punctuation + "¡¿«»“”„’"
 
 
@@ -51,11 +51,53 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
 
 
-def grams(word: str) -> list[int]:
-    """Table rows of a word and its n-grams."""
-    w = f"<{word.lower().strip(EDGES)}>"
-    found = [w] + [w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in found]
+def core(raw: bytes) -> str:
+    return f"<{raw.decode().lower().strip(EDGES)}>"
+
+
+def _crc_table() -> np.ndarray:
+    """What CRC-32 makes of each byte."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC = _crc_table()
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of words and their n-grams, one word's after the other's, and where each word's begin, and the end.
+
+    A row is named by the CRC-32 of the n-gram in UTF-8; those that begin at any character are hashed together, byte
+    by byte.
+    """
+    cores = [core(w) for w in words]
+    size = np.fromiter(map(len, cores), np.int64, len(cores))
+    begins = np.concatenate([[0], np.cumsum(1 + sum(np.maximum(size - n + 1, 0) for n in NGRAMS))])
+    rows = np.empty(int(begins[-1]), np.int32)
+    rows[begins[:-1]] = np.fromiter((zlib.crc32(c.encode()) & (BUCKETS - 1) for c in cores), np.int32, len(cores))
+    data = np.frombuffer("".join(cores).encode(), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    ends = np.cumsum(size)
+    word, char = np.repeat(np.arange(len(cores)), size), np.arange(len(at) - 1)
+    length, place, first = {}, {}, begins[:-1] + 1 - (ends - size)
+    for n in NGRAMS:
+        length[n] = np.where(char + n <= ends[word], at[np.minimum(char + n, len(char))] - at[:-1], 0)
+        place[n] = first[word] + char
+        first = first + np.maximum(size - n + 1, 0)
+    reach = np.maximum.reduce([*length.values()])
+    state, live, k = np.full(len(char), 0xFFFFFFFF, np.uint32), np.flatnonzero(reach), 0
+    while len(live):
+        now = state[live]
+        state[live] = now = CRC[(now ^ data[at[live] + k]) & np.uint32(255)] ^ (now >> np.uint32(8))
+        k += 1
+        for n in NGRAMS:
+            if k >= n:
+                done = length[n][live] == k
+                rows[place[n][live[done]]] = ~now[done] & np.uint32(BUCKETS - 1)
+        live = live[reach[live] > k]
+    return rows, begins
 
 
 class Model:
@@ -66,20 +108,19 @@ class Model:
 
 
 def _features(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the table, their weights and where each bag's begin."""
-    known: dict[bytes, list[int]] = {}
-    rows, weights, begins = [], [], [0]
-    for bag_words in bags:
-        words = Counter(bag_words)
-        n, bag = max(1, words.total()), Counter()
-        for w, k in words.items():
-            if (g := known.get(w)) is None:
-                known[w] = g = grams(w.decode())
-            for f in g:
-                bag[f] += k / (n * len(g))
-        rows.append(np.fromiter(bag.keys(), np.int32, len(bag)))
-        weights.append(np.fromiter(bag.values(), np.float32, len(bag)))
-        begins.append(begins[-1] + len(bag))
+    """Rows of the table, their weights and where each bag's begin; a bag names each of its rows once."""
+    number = {w: k for k, w in enumerate(sorted(set().union(*bags)))}
+    of, at = grams([*number])
+    rows, weights, begins = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+    for bag in bags:
+        words, times = np.unique(np.fromiter(map(number.__getitem__, bag), np.int64, len(bag)), return_counts=True)
+        size = at[words + 1] - at[words]
+        first = np.cumsum(size) - size
+        here = of[np.arange(int(size.sum())) + np.repeat(at[words] - first, size)]
+        ids, inverse = np.unique(here, return_inverse=True)
+        rows.append(ids)
+        weights.append(np.bincount(inverse, np.repeat(times / (max(1, len(bag)) * size), size), len(ids)).astype(np.float32))
+        begins.append(begins[-1] + len(ids))
     return np.concatenate(rows), np.concatenate(weights), np.array(begins)
 
 
@@ -93,11 +134,11 @@ class Learner:
         self.seen_t = np.full((BUCKETS, 1), DAMP, np.float32)
         self.seen_o, self.seen_b = np.full_like(self.out, 1e-8), np.full_like(self.bias, 1e-8)
         self.trained = np.zeros(BUCKETS, bool)
+        self.place = np.zeros(BUCKETS, np.int64)
 
     def fit(self, bags: list[list[bytes]], y: np.ndarray, scale: float, epochs: int, rate: float) -> None:
         """A bag's mean is scaled up so that steps are of use: of its words, hundreds in a document, a few matter."""
         rows, weights, begins = _features(bags)
-        # A bag names each of its rows once.
         self.trained |= np.bincount(rows, minlength=BUCKETS) >= MIN_DOCS
         weights = np.where(self.trained[rows], weights, np.float32(0))
         share = y.mean()
@@ -123,7 +164,11 @@ class Learner:
         dz *= cost[docs][:, None] / len(docs)
         d_bag = dz @ self.out.T
         d_out, d_bias = bag.T @ dz + DECAY * self.out, dz.sum(axis=0)
-        ids, inverse = np.unique(r, return_inverse=True)
+        met = np.zeros(BUCKETS, bool)
+        met[r] = True
+        ids = np.flatnonzero(met)
+        self.place[ids] = np.arange(len(ids))
+        inverse = self.place[r]
         doc_of = np.repeat(np.arange(len(docs)), lengths)
         d_table = np.column_stack([np.bincount(inverse, w * d_bag[doc_of, k], len(ids)) for k in range(DIM)]).astype(np.float32) + DECAY * self.table[ids]
         self.seen_t[ids] += (d_table**2).mean(axis=1, keepdims=True)
@@ -143,14 +188,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     learner.fit(words, y, SCALE, EPOCHS, RATE)
     for _ in range(ROUNDS):
         worst = Scorer(learner.model(WINDOW_SCALE))
-        learner.fit([w[slice(*worst.window(w))] for w in words], y, WINDOW_SCALE, WINDOW_EPOCHS, WINDOW_RATE)
+        learner.fit([w[begin:end] for w, (begin, end) in zip(words, worst.windows(words), strict=True)], y, WINDOW_SCALE, WINDOW_EPOCHS, WINDOW_RATE)
     return learner.model(WINDOW_SCALE)
 
 
 def calibrated(model: Model, texts: list[str], labels: list[int], prior: float) -> Model:
     """Slope and offset of the margin, by logistic regression on texts the model was not fitted on; each class weighs
     what it does in the corpus."""
-    x = np.array([*map(Scorer(model), (t.encode() for t in texts))])
+    margin = Scorer(model)
+    x = np.array([m for at in range(0, len(texts), TEXTS) for m in margin.many([t.encode() for t in texts[at : at + TEXTS]])])
     y = np.array(labels, float)
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     middle, spread = x.mean(), max(float(x.std()), 1e-6)
@@ -200,69 +246,66 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         return [], [], toxic / n if n else 0.0
     keys = F.broadcast(docs.sparkSession.createDataFrame(taken, f"{FILE_KEY} long, {ROW_KEY} long, __y int"))
     rows = named.join(keys, ROW).select(*ROW, "__text", "__y").collect()
-    rows.sort(key=lambda r: (r[FILE_KEY], r[ROW_KEY]))
+    rows.sort(key=lambda r: (r["__text"] or "", r["__y"]))  # by what they say: a table moved elsewhere gives the same model
     return [r["__text"] or "" for r in rows], [r["__y"] for r in rows], toxic / n
 
 
-class GramMargins(dict):
-    """N-gram -> what it adds to the margin; words are made of the same few n-grams over and over."""
-
-    def __init__(self, margin: list[float]) -> None:
-        self.margin = margin
-
-    def __missing__(self, gram: str) -> float:
-        v = self[gram] = self.margin[zlib.crc32(gram.encode()) & (BUCKETS - 1)]
-        return v
-
-
 class Scorer:
     """Margins of texts under one model, with the words a worker has met; it outlives the tasks of the worker."""
 
     def __init__(self, model: Model) -> None:
-        self.grams, self.bias = GramMargins(model.margin.tolist()), model.bias
+        self.margin, self.bias = model.margin.astype(np.float64), model.bias
         self.known: dict[bytes, float] = {}
-        self.cores: dict[str, float] = {}
         self.held = 0
 
-    def word(self, raw: bytes) -> float:
-        core = raw.decode().lower().strip(EDGES)
-        if (v := self.cores.get(core)) is None:
-            w, of = f"<{core}>", self.grams
-            parts = [of[w[i : i + n]] for n in NGRAMS for i in range(len(w) - n + 1)]
-            whole = of.margin[zlib.crc32(w.encode()) & (BUCKETS - 1)]
-            self.cores[core] = v = (whole + sum(parts)) / (1 + len(parts))
-        return v
-
-    def margins(self, words: list[bytes]) -> list[float]:
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            if self.held + 330 * len(known) + 160 * len(self.grams) > REMEMBERED_BYTES:
-                known.clear()
-                self.cores.clear()
-                self.grams.clear()
-                self.held = 0
-            for w in set(words).difference(known):
-                known[w] = self.word(w)
-                self.held += 3 * len(w)
-            return [known[w] for w in words]
+    def learn(self, words: set[bytes]) -> None:
+        new = sorted(words)
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            rows, begins = grams(some)
+            self.known.update(zip(some, (np.add.reduceat(self.margin[rows], begins[:-1]) / np.diff(begins)).tolist(), strict=True))
+        self.held += sum(map(len, new)) + 190 * len(new)
+
+    def margins(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+
+    def _total(self, words: list[bytes]) -> np.ndarray:
+        return np.concatenate([[0.0], np.cumsum(self.margins(words))])
+
+    def texts(self, texts: list[list[bytes]]) -> None:
+        """Meet the words of texts, all at once."""
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        self.learn(set().union(*texts).difference(self.known))
 
     def window(self, words: list[bytes]) -> tuple[int, int]:
         """Begin and end of the window of WINDOW words where the mean is largest; of all words if they are no more."""
         if len(words) <= WINDOW:
             return 0, len(words)
-        total = np.cumsum([0.0, *self.margins(words)])
+        total = self._total(words)
         at = int(np.argmax(total[WINDOW:] - total[:-WINDOW]))
         return at, at + WINDOW
 
-    def __call__(self, text: bytes) -> float:
-        words = text.split()
+    def windows(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+        for at in range(0, len(texts), TEXTS):
+            self.texts(texts[at : at + TEXTS])
+            yield from map(self.window, texts[at : at + TEXTS])
+
+    def _margin(self, words: list[bytes]) -> float:
         if not words:
             return self.bias
-        total = np.cumsum([0.0, *self.margins(words)])
+        total = self._total(words)
         return (float((total[WINDOW:] - total[:-WINDOW]).max()) / WINDOW if len(words) >= WINDOW else float(total[-1]) / len(words)) + self.bias
 
+    def __call__(self, text: bytes) -> float:
+        return self.many([text])[0]
+
+    def many(self, texts: list[bytes | None]) -> list[float]:
+        words = [(t or b"").split() for t in texts]
+        self.texts(words)
+        return [*map(self._margin, words)]
+
 
 _scorers: dict[int, Scorer] = {}
 
@@ -283,8 +326,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for b in batches:
             found: list[float] = []
             texts = b.column(2).cast(pa.binary())
-            for at in range(0, b.num_rows, 256):
-                found += [margin(t or b"") for t in texts.slice(at, 256).to_pylist()]
+            for at in range(0, b.num_rows, TEXTS):
+                found += margin.many(texts.slice(at, TEXTS).to_pylist())
             p = 1 / (1 + np.exp(-np.clip(np.array(found, float), -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -305,9 +348,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") ->
         margin = Scorer(model)  # gone with the task: the stages that follow need the worker's memory
         for b in batches:
             texts = b.column(schema.fieldNames().index(text_col)).cast(pa.binary())
-            for at in range(0, b.num_rows, 256):
-                some = texts.slice(at, 256).to_pylist()
-                yield b.slice(at, 256).filter(pa.array([margin(t or b"") < 0 for t in some]))
+            for at in range(0, b.num_rows, TEXTS):
+                yield b.slice(at, TEXTS).filter(pa.array([m < 0 for m in margin.many(texts.slice(at, TEXTS).to_pylist())]))
         del margin
         give_back()
 
