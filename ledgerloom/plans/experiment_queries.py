@@ -28,7 +28,7 @@ def known_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reserve draws, and the ledger it leaves: old rows and new ones."""
+    """What a reserve draws from documents that the ledger does not have."""
     m, seen = _manifest(spark, sf_dir)
     return P.random_unseen(m, seen, 15, 5).select("id", "dataset", "place")
 
