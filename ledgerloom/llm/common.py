@@ -171,6 +171,17 @@ def give_back() -> None:
         pass
 
 
+def keep_freed() -> None:
+    """Keep freed memory of a Python worker for its next arrays, until give_back(): pages that go back to the machine after
+    each array cost more than the work on them."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

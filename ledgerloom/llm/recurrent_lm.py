@@ -11,11 +11,14 @@ have a softmax of their own in each; all other words fall into TAIL_CLASSES by t
 class by corpus counts, c + 0.5 each, with one more 0.5 for a word never met. So every word has a probability, and what
 the model says of rare words rests on the counts of all documents.
 
-The recurrent weights are trained in numpy by truncated backpropagation, with the state carried from window to window.
-A small sample (INIT_CHARS) gives the first weights; then every task goes on from those over its part of a share of the
-training documents, SHARE of them, whole and of any length, and the tasks' weights are averaged by their tokens, in a
-tree. So what is learned from grows with the corpus, and nothing but one table of weights a task is gathered. In
-scoring, documents of a block run side by side, longest first, and each one's state is carried over its whole length.
+The recurrent weights are trained in numpy by truncated backpropagation, with the state carried from window to window,
+on all training documents, whole and of any length. Those with the lowest hashes, FIRST_TOKENS tokens of them, come
+first, in one task; then every task goes on from its weights over its part of all the others, and the tasks' weights are
+averaged by their tokens, in a tree. A corpus of no more tokens than that is learned in the one task, EPOCHS times over
+if small. Nothing but one table of weights a task is gathered. In scoring, documents of a block run side by side, longest
+first, and each one's state is carried over its whole length.
+
+Inside, states are (hidden, time, lane), so that what numpy does to a gate or a class it does to long rows.
 
 Null counts as empty: one token, the end. Rows that repeat are scored alike. Without training documents every count is
 zero. An empty table gives an empty result; other columns are ignored.
@@ -27,13 +30,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, hashed_sample, materialise, parts_for, with_row_key
+from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, give_back, keep_freed, materialise, parts_for, with_row_key
 
 #: The end of a document; no word is empty.
 END = b""
@@ -42,11 +46,13 @@ BLOCK_BYTES, LONG = 8 << 20, 128
 PARTITION_BYTES = 32 << 20
 HEAD_WORDS, HEAD_CLASSES, TAIL_CLASSES, TAIL_LETTERS, COMMON = 800, 24, 40, 3, 100_000
 HIDDEN, LANES, WINDOW, EPOCHS, RATE, CLIP, SEED = 24, 64, 32, 3, 0.01, 1.0, 5
-#: The sample that sets the first weights: documents, characters, and characters of one document.
-INIT_DOCS, INIT_CHARS, INIT_DOC_CHARS = 600, 1_200_000, 100_000
-#: The share of training documents that the tasks learn from, at which rate, in how many lanes, how many tokens at a
-#: time, and how many tasks' weights one task averages.
-SHARE, TASK_RATE, TASK_LANES, TASK_TOKENS, FAN_IN = 0.1, 0.006, 256, 1 << 17, 64
+#: Tokens, about, that are learned first, in one task, by documents of at most so many bytes.
+FIRST_TOKENS, FIRST_BYTES = 1_000_000, 1 << 20
+#: At which rate the other tasks learn, in how many lanes, how many tokens at a time, from how many tokens at least, and
+#: how many tasks' weights one task averages.
+TASK_RATE, TASK_LANES, TASK_TOKENS, TASK_LEAST, FAN_IN = 0.006, 512, 1 << 17, 4_000_000, 64
+#: Tail words whose class a task remembers.
+REMEMBERED = 1 << 17
 SCORED_LANES, SCORED_WINDOW = 1024, 32
 BLOCK = [FILE_KEY, "block"]
 
@@ -59,6 +65,23 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[:TAIL_LETTERS]) % TAIL_CLASSES
 
 
+class Tokens(dict):
+    """Tokens of the words: a head word's place, or the number of the head and the tail class."""
+
+    def __init__(self, place: dict[bytes, int]) -> None:
+        super().__init__(place)
+        self.n_head = len(place)
+
+    def __missing__(self, word: bytes) -> int:
+        token = self.n_head + tail_class(word)
+        if len(self) < self.n_head + REMEMBERED:
+            self[word] = token
+        return token
+
+    def __reduce__(self) -> tuple:
+        return Tokens, (dict(islice(self.items(), self.n_head)),)
+
+
 class Vocabulary:
     """head: most frequent words and counts, in order; tail: mass of each tail class; types, tokens: V and N."""
 
@@ -75,18 +98,25 @@ class Vocabulary:
         self.class_bias = np.log(np.r_[np.maximum(of_class, 1e-3), self.tail] / (mass.sum() + self.tail.sum())).astype(np.float32)
         self.word_bias = np.log(mass / of_class[self.head_class]).astype(np.float32)
         self.n_head = len(head)
+        self.tokens_of = Tokens(self.place)
+        self.class_of = np.r_[self.head_class, HEAD_CLASSES + np.arange(TAIL_CLASSES)].astype(np.uint8)
         self.rank = np.zeros(self.n_head, int)
         for m in self.members:
             self.rank[m] = np.arange(len(m))
 
     def token(self, word: bytes) -> int:
-        """A head word's place, or the number of the head and the tail class."""
-        found = self.place.get(word)
-        return self.n_head + tail_class(word) if found is None else found
+        return self.tokens_of[word]
 
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        head = tokens < self.n_head
-        return np.where(head, self.head_class[np.where(head, tokens, 0)], HEAD_CLASSES + tokens - self.n_head)
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.tokens_of.__getitem__, words), np.int64, len(words))
+
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """An order of the targets by class; in it, their classes and head words' ranks in theirs; where classes begin."""
+        cls = self.class_of[targets]
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order]
+        begins = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+        return order, cls, self.rank[targets[order[: begins[-1]]]], begins
 
 
 class Recurrent:
@@ -99,71 +129,120 @@ class Recurrent:
             "class_bias": v.class_bias.copy(), "words": small(v.n_head, HIDDEN), "word_bias": v.word_bias.copy(),
         }
 
+    def _run(self, h: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (hidden, time, lane) after inputs (time, lane), from h (hidden, lane), and what the way back needs. A
+        document's first input is the end of another: it starts from zero."""
+        (span, lanes), kind = inputs.shape, self.w["into"].dtype
+        x = self.w["into"][inputs]
+        turn = np.ascontiguousarray(self.w["round"].T)
+        alive = (inputs != self.vocabulary.place[END]).astype(kind)
+        states, before, new, own = (np.empty((HIDDEN, span, lanes), kind) for _ in range(4))
+        gates = np.empty((2 * HIDDEN, span, lanes), kind)
+        for t in range(span):
+            h = np.multiply(h, alive[t], out=before[:, t])
+            u, x_t = turn @ h, x[t].T
+            own[:, t] = u[2 * HIDDEN :]
+            a = u[: 2 * HIDDEN]
+            a += x_t[: 2 * HIDDEN]
+            np.negative(a, out=a)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            gates[:, t] = a
+            n = u[2 * HIDDEN :]
+            n *= a[HIDDEN:]
+            n += x_t[2 * HIDDEN :]
+            n *= -2
+            np.exp(n, out=n)  # tanh by exp, which takes half the time
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
+            new[:, t] = n
+            h = h - n
+            h *= a[:HIDDEN]
+            h = np.add(h, n, out=states[:, t])
+        return states, before, gates[:HIDDEN], gates[HIDDEN:], new, own, alive
+
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state, and what the way back needs. A document's first input is the end of another: it starts from zero."""
-        h = h * (tokens != self.vocabulary.place[END])[:, None]
-        x, u = self.w["into"][tokens], h @ self.w["round"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), h, z, r, n, u[:, 2 * HIDDEN :]
+        """New state of each lane (lane, hidden), and what the way back needs."""
+        states, *kept = self._run(h.T, tokens[None])
+        return states[:, 0].T, *kept
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Of the class, and of the word in it for head words."""
-        v, w = self.vocabulary, self.w
-        cls = v.classes(targets)
-        logits = h @ w["classes"] + w["class_bias"]
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        begins = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-        for k, members in enumerate(v.members):
-            here = order[begins[k] : begins[k + 1]]
-            if len(here) and len(members) > 1:
-                inner = h[here] @ w["words"][members].T + w["word_bias"][members]
-                out[here] += inner[np.arange(len(here)), v.rank[targets[here]]] - np.log(np.exp(inner).sum(axis=1))
+        """Of the class, and of the word in it for head words; h (lane, hidden)."""
+        return self._log_probs(h.T, np.arange(len(h)), targets)
+
+    def _log_probs(self, states: np.ndarray, places: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The same for columns of states (hidden, any)."""
+        w = self.w
+        order, cls, rank, begins = self.vocabulary.by_class(targets)
+        states = np.take(states, places[order], axis=1)
+        logits = w["classes"].T @ states
+        logits += w["class_bias"][:, None]
+        found = logits[cls, np.arange(len(targets))]
+        found -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
+            if hi > lo and len(members) > 1:
+                inner = w["words"][members] @ states[:, lo:hi]
+                inner += w["word_bias"][members][:, None]
+                found[lo:hi] += inner[rank[lo:hi], np.arange(hi - lo)]
+                found[lo:hi] -= np.log(np.exp(inner, out=inner).sum(axis=0))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def _window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Forward and back over one window (time, lane); the last state and the gradients."""
-        w, v, kept = self.w, self.vocabulary, []
-        for x in inputs:
-            kept.append(self.step(h, x))
-            h = kept[-1][0]
-        states = np.concatenate([k[0] for k in kept])
-        flat, n = targets.ravel(), targets.size
-        cls = v.classes(flat)
-        logits = states @ w["classes"] + w["class_bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), cls] -= 1
-        p /= n
-        g = {k: np.zeros_like(x) for k, x in w.items()}
-        g["classes"], g["class_bias"] = states.T @ p, p.sum(axis=0)
-        d_states = p @ w["classes"].T
-        for k, members in enumerate(v.members):
-            here = np.flatnonzero(cls == k)
-            if len(here) and len(members) > 1:
-                inner = states[here] @ w["words"][members].T + w["word_bias"][members]
-                q = np.exp(inner - inner.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(here)), v.rank[flat[here]]] -= 1
-                q /= n
-                g["words"][members] += q.T @ states[here]
-                g["word_bias"][members] += q.sum(axis=0)
-                d_states[here] += q @ w["words"][members]
-        d_states = d_states.reshape(*targets.shape, HIDDEN)
-        dh = np.zeros_like(h)
+        """Forward and back over one window (time, lane); the last state (lane, hidden) and the gradients."""
+        w, n, lanes = self.w, targets.size, inputs.shape[1]
+        states, before, z, r, new, own, alive = self._run(h.T, inputs)
+        every = np.arange(n)
+        order, cls, rank, begins = self.vocabulary.by_class(targets.ravel())
+        ordered = np.take(states.reshape(HIDDEN, n), order, axis=1)
+        p = w["classes"].T @ ordered
+        p += w["class_bias"][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= n * p.sum(axis=0)
+        p[cls, every] -= 1 / n
+        g = {"into": np.zeros_like(w["into"]), "round": None, "classes": ordered @ p.T, "class_bias": p.sum(axis=1), "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
+        d_states = w["classes"] @ p
+        for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
+            if hi > lo and len(members) > 1:
+                words, here = w["words"][members], ordered[:, lo:hi]
+                q = words @ here
+                q += w["word_bias"][members][:, None]
+                q -= q.max(axis=0)
+                np.exp(q, out=q)
+                q /= n * q.sum(axis=0)
+                q[rank[lo:hi], every[: hi - lo]] -= 1 / n
+                g["words"][members], g["word_bias"][members] = q @ here.T, q.sum(axis=1)
+                d_states[:, lo:hi] += words.T @ q
+        back = np.empty(n, np.int64)
+        back[order] = every
+        d_states = np.take(d_states, back, axis=1).reshape(states.shape)
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
+        d = np.empty((3 * HIDDEN, *inputs.shape), states.dtype)  # of the gates and of what the state adds to the new one
+        dh = np.zeros((HIDDEN, lanes), states.dtype)
+        d_new = np.empty_like(states)
         for t in range(len(inputs) - 1, -1, -1):
-            _, before, z, r, new, u = kept[t]
-            dh = dh + d_states[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_gate = np.concatenate([dh * (before - new) * z * (1 - z), d_new * u * r * (1 - r)], axis=1)
-            d_x = np.concatenate([d_gate, d_new], axis=1)
-            d_u = np.concatenate([d_gate, d_new * r], axis=1)
-            np.add.at(g["into"], inputs[t], d_x)
-            g["round"] += before.T @ d_u
-            dh = (dh * z + d_u @ w["round"].T) * (inputs[t] != v.place[END])[:, None]
-        return h, g
+            dh += d_states[:, t]
+            here = np.empty((3 * HIDDEN, lanes), states.dtype)
+            fresh = np.multiply(dh, by_new[:, t], out=d_new[:, t])
+            np.multiply(dh, by_z[:, t], out=here[:HIDDEN])
+            np.multiply(fresh, by_r[:, t], out=here[HIDDEN : 2 * HIDDEN])
+            np.multiply(fresh, r[:, t], out=here[2 * HIDDEN :])
+            d[:, t] = here
+            dh *= z[:, t]
+            dh += w["round"] @ here
+            dh *= alive[t]
+        g["round"] = before.reshape(HIDDEN, n) @ d.reshape(3 * HIDDEN, n).T
+        d[2 * HIDDEN :] = d_new
+        tokens = inputs.ravel().astype(np.uint16 if len(w["into"]) < 1 << 16 else np.int64)  # 16 bits sort by radix
+        by_token = np.argsort(tokens, kind="stable")
+        tokens = tokens[by_token]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        g["into"][tokens[starts]] = np.add.reduceat(np.take(d.reshape(3 * HIDDEN, n), by_token, axis=1), starts, axis=1).T
+        return states[:, -1].T, g
 
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, most: int = LANES, fade: bool = True) -> "Recurrent":
         """documents: tokens without the end."""
@@ -208,6 +287,15 @@ class Recurrent:
             self.fit(some, 1, TASK_RATE, TASK_LANES, fade=False)
         return total + n
 
+    def take(self, weights: DataFrame) -> "Recurrent":
+        """The weights of the table's one row; its own remain where there is none."""
+        for r in weights.collect():
+            flat, at = np.frombuffer(r["weights"], np.float32), 0
+            for k, x in self.w.items():
+                self.w[k] = flat[at : at + x.size].reshape(x.shape).copy()
+                at += x.size
+        return self
+
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each document's tokens and its end, but for what rare words share of their class."""
         end = self.vocabulary.place[END]
@@ -216,7 +304,7 @@ class Recurrent:
         for first in range(0, len(order), SCORED_LANES):
             ids = order[first : first + SCORED_LANES]
             lengths = np.array([len(documents[i]) + 1 for i in ids])
-            h = np.zeros((len(ids), HIDDEN), np.float32)
+            h = np.zeros((HIDDEN, len(ids)), np.float32)
             for at in range(0, lengths[0], SCORED_WINDOW):
                 live = int(np.searchsorted(-lengths, -at, side="left"))  # longest first: those longer than at
                 span = min(SCORED_WINDOW, lengths[0] - at)
@@ -226,14 +314,11 @@ class Recurrent:
                     d = documents[ids[k]]
                     piece = d[max(0, at - 1) : at + span]
                     grid[k, (at == 0) : (at == 0) + len(piece)] = piece
-                h = h[:live]
-                states = []
-                for t in range(span):
-                    h = self.step(h, grid[:, t])[0]
-                    states.append(h)
-                real = (at + np.arange(span))[:, None] < lengths[None, :live]
-                found = self.log_probs(np.stack(states)[real], grid[:, 1:].T[real])
-                out[ids[:live]] += np.bincount(np.nonzero(real)[1], found, live)
+                states = self._run(h[:, :live], grid[:, :-1].T)[0]
+                h = states[:, -1]
+                real = np.flatnonzero((at + np.arange(span))[:, None] < lengths[None, :live])
+                found = self._log_probs(states.reshape(HIDDEN, -1), real, grid[:, 1:].T.ravel()[real])
+                out[ids[:live]] += np.bincount(real % live, found, live)
         return out
 
 
@@ -304,23 +389,37 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, dict[bytes, int]]:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> Recurrent:
-    usable = docs.where(~is_held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample, left = [], INIT_CHARS
-    drawn = hashed_sample(usable.where(F.length("text") <= INIT_DOC_CHARS), ["id", "text"], INIT_DOCS).select("text").collect()
-    tokens = lambda t: np.array([vocab.token(w) for w in lowered(t)], np.int64)
-    for r in sorted(drawn, key=lambda r: zlib.crc32(r["text"].encode())):
-        if len(r["text"]) <= left:
-            left -= len(r["text"])
-            sample.append(tokens(r["text"].encode()))
-    first = Recurrent(vocab).fit(sample)
-    first.moments = None
+    usable = docs.where(~is_held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    drawn = F.xxhash64("id", "text", F.lit(SEED))
+    is_first = (F.pmod(drawn, F.lit(1 << 20)) < math.ceil((1 << 20) * FIRST_TOKENS / max(1, vocab.tokens))) & (F.octet_length("text") <= FIRST_BYTES)
+    epochs = min(EPOCHS, max(1, FIRST_TOKENS // max(1, vocab.tokens)))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (vocab.encode(lowered(t.as_py())) for b in batches for t in b.column("text").cast(pa.binary()))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
+        sequences = list(texts(batches))
+        if sequences:
+            yield _weights(Recurrent(vocab).fit(sequences, epochs).w, sum(map(len, sequences)) + len(sequences))
+        del sequences
+        give_back()
+
+    model = Recurrent(vocab)
+    # In the order of their hashes, so that reruns agree.
+    one = usable.where(is_first).repartition(1).sortWithinPartitions(drawn, "id", "text").select("text")
+    model.take(materialise(one.mapInArrow(begin, "weights binary, n long")))
+    begun = model.w
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model = Recurrent(vocab)
-        model.w = {k: x.copy() for k, x in first.w.items()}
-        n = model.learn(tokens(t.as_py()) for b in batches for t in b.column(0).cast(pa.binary()))
+        model.w = {k: x.copy() for k, x in begun.items()}
+        n = model.learn(texts(batches))
         if n:
             yield _weights(model.w, n)
+        del model
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -331,18 +430,13 @@ def train(docs: DataFrame, vocab: Vocabulary, *, id_col: str = "doc_id", text_co
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
-    shared = usable.where(F.pmod(F.xxhash64("id", "text", F.lit(SEED)), F.lit(1 << 20)) < int(SHARE * (1 << 20))).select("text")
-    level = materialise(shared.mapInArrow(learn, "weights binary, n long"))
-    parts = shared.rdd.getNumPartitions()
+    others = usable.where(~is_first).select("text")
+    parts = max(1, min(others.rdd.getNumPartitions(), vocab.tokens // TASK_LEAST))
+    level = materialise(others.coalesce(parts).mapInArrow(learn, "weights binary, n long"))
     while parts > 1:
         parts = -(-parts // FAN_IN)
         level = materialise(level.repartition(parts).mapInArrow(add, "weights binary, n long"))
-    for r in level.collect():  # one row, or none without training documents
-        flat, at = np.frombuffer(r["weights"], np.float32), 0
-        for k, x in first.w.items():
-            first.w[k] = flat[at : at + x.size].reshape(x.shape).copy()
-            at += x.size
-    return first
+    return model.take(level)
 
 
 def _weights(w: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
@@ -354,7 +448,7 @@ class Lexicon:
     """What scoring needs to know of words: token, base score, share of its class, whether training has it."""
 
     def __init__(self, v: Vocabulary, words: list[bytes], c: np.ndarray) -> None:
-        token = np.array([v.token(w) for w in words], np.int64)
+        token = v.encode(words)
         share, rare = np.zeros(len(c)), token >= v.n_head
         share[rare] = np.log((c[rare] + 0.5) / v.tail[token[rare] - v.n_head])
         self.columns = token, np.log10((c + 0.5) / (v.tokens + 0.5 * (v.types + 1))), share, c > 0
@@ -368,6 +462,7 @@ def score(blocks: DataFrame, size: int, rare: DataFrame, common: dict[bytes, int
     shared: list[Lexicon] = []  # one for each worker's task
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        keep_freed()
         v = model.vocabulary
         if not shared:
             shared.append(Lexicon(v, list(held), np.array(list(held.values()), np.int64)))

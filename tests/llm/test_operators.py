@@ -375,6 +375,19 @@ def test_language_model_beats_the_base(frame):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_recurrent_learns_from_every_document(frame, monkeypatch):
+    """Long or not, in the first task or another's part: without any one training document the weights differ."""
+    monkeypatch.setattr(recurrent_lm, "FIRST_TOKENS", 20_000, raising=False)
+    monkeypatch.setattr(recurrent_lm, "TASK_LEAST", 10_000, raising=False)
+    rng, words = np.random.default_rng(8), [f"word{k}" for k in range(50)]
+    docs = [(k, " ".join(rng.choice(words, 15_000 if k < 8 else 40)), "en", "a", 1) for k in range(60) if zlib.crc32(str(k).encode()) % 5 != 1]
+    c = collections.Counter(x for d in docs for x in [*d[1].encode().split(), b""])
+    v = recurrent_lm.Vocabulary(sorted(c.items(), key=lambda x: (-x[1], x[0])), [0.5] * recurrent_lm.TAIL_CLASSES, len(c), c.total())
+    whole, again, *less = (recurrent_lm.train(frame(rows), v).w for rows in (docs, docs, docs[1:], docs[:1] + docs[2:], docs[:-1]))
+    differ = lambda w: max(np.abs(w[k] - x).max() for k, x in whole.items())
+    assert differ(again) < 1e-6 and all(differ(w) > 1e-5 for w in less)
+
+
 def test_recurrent_probabilities_sum_to_one():
     head = [(b"", 50), *((f"w{k}".encode(), 40 - k) for k in range(20))]
     v = recurrent_lm.Vocabulary(head, [5.0] * recurrent_lm.TAIL_CLASSES, 30, 900)
