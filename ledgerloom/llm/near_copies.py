@@ -1,10 +1,12 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one node. Minima under BANDS * BAND_ROWS permutations, in bands, propose pairs: two sets of similarity
-0.8 share no band with a chance of (1 - 0.8 ** 4) ** 24, three in a million. What a band proposes is verified on the
-whole sets, so a link is never a guess.
+Equal sets are one node. Two things propose pairs. SimHash: a set's fingerprint has the bits that over half of its hashes
+have, fingerprints are joined and grouped as in ``simhash``, and nodes of one group meet. Its two bits reach the nearest
+only, so minima under BANDS * BAND_ROWS permutations, in bands, propose the rest: two sets of similarity 0.8 share no band
+with a chance of (1 - 0.8 ** 4) ** 24, three in a million. What either proposes is verified on the whole sets, so a link
+is never a guess.
 
-Sets meet in one task for each band value, all pairs of which are compared as products of 0/1 matrices; what the task
+Sets meet in one task for each group or band value, all pairs of which are compared as products of 0/1 matrices; what the task
 returns is a spanning forest of the links, never the pairs. Values with the same nodes are taken once. A value with more
 than HOT nodes is dealt out by pairs of blocks of them, each to a task of its own, which loses no pair.
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import FILE_KEY, ROW, ROW_KEY, file_backed, give_back, materialise, with_row_key, without_rows
+from ledgerloom.llm import simhash
 from ledgerloom.llm.simhash import Forest, components
 
 SHINGLE, SEED, LIKE = 5, 42, 0.8
@@ -63,6 +66,14 @@ def node(hashes: np.ndarray) -> int:
     return np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64).item()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The set's SimHash, as a signed 64-bit number; zero for an empty set."""
+    digests, counts = hashes.view(np.uint8), np.zeros(64, np.int64)
+    for at in range(0, len(digests), 1 << 19):
+        counts += simhash.ones(digests[at : at + (1 << 19)])
+    return simhash.majority(counts, len(hashes))
+
+
 def alike(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the first of its component, by links of at least LIKE."""
     n, size = len(sets), np.array([len(x) for x in sets])
@@ -92,12 +103,13 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp, values = [], []
+        fp, sims, values = [], [], []
         for t in _texts(b.column(3)):
             h = shingles(t)
             fp.append(node(h))
+            sims.append(fingerprint(h))
             values.append(bands(h))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=[*ROW, "doc_id", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64()), pa.array(sims, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=[*ROW, "doc_id", "fp", "sim", "bands"])
     give_back()
 
 
@@ -143,13 +155,21 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare, "u long, v long").distinct()
 
 
+def proposals(nodes: DataFrame) -> DataFrame:
+    """(fp, band): nodes that share a band may be alike; nodes: fp, sim, bands. A group of fingerprints is a band too."""
+    sims = materialise(nodes.select(F.col("sim").alias("fp")).distinct())
+    groups = materialise(components(simhash.links(sims, sims.count()))).withColumnRenamed("fp", "sim")
+    grouped = nodes.select("fp", "sim").join(groups, "sim", "left").select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("band"))
+    return grouped.unionByName(nodes.select("fp", F.explode("bands").alias("band")))
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ROW, doc_id, fp and root, which names the component, for every row of ``docs``."""
     docs = file_backed(docs)
     text = F.col(text_col).cast("string").alias("text")
-    rows = materialise(with_row_key(docs, F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(_signatures, f"{FILE_KEY} long, {ROW_KEY} long, doc_id long, fp long, bands array<long>"))
-    nodes = rows.groupBy("fp").agg(F.min(F.struct(*ROW, "bands")).alias("r")).select("fp", "r.*")
-    dealt = materialise(nodes.select("fp", F.explode("bands").alias("band")))
+    rows = materialise(with_row_key(docs, F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(_signatures, f"{FILE_KEY} long, {ROW_KEY} long, doc_id long, fp long, sim long, bands array<long>"))
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(*ROW, "sim", "bands")).alias("r")).select("fp", "r.*")
+    dealt = materialise(proposals(nodes))
     shared = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialise(dealt.join(shared, "band", "left_semi").select("band", "fp"))
     whose = nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", *ROW)

@@ -47,9 +47,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     parts = [words[k:] for k in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
     each, n, counts = zip(*parts, strict=False), 0, np.zeros(64, np.int64)
     while hashed := b"".join([xxhash.xxh64_digest(b" ".join(s), seed) for s in islice(each, 1 << 16)]):
-        bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-        n += len(bits)
+        counts += ones(np.frombuffer(hashed, np.uint8))
+        n += len(hashed) // 8
+    return majority(counts, n)
+
+
+def ones(digests: np.ndarray) -> np.ndarray:
+    """How many of the digests, 8 bytes each, have each of 64 bits."""
+    return np.unpackbits(digests.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n have, as a signed 64-bit number."""
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 

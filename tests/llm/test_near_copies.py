@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from ledgerloom.llm import near_copies
+from ledgerloom.llm import near_copies, simhash
 
 from fixtures_llm import PROSE
 
@@ -48,6 +48,31 @@ def test_blocks_lose_no_link(frame, monkeypatch):
     assert len(set(zip((found[k] for k in range(len(rows))), want, strict=True))) == len(set(found.values())) == len(set(want))
 
 
+def test_stage_joins_fingerprints(spark, frame, monkeypatch):
+    """The stage's pairs come from the SimHash operator too: it is given every set's fingerprint."""
+    rows, seen, links = texts(), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, n: seen.append({r.fp for r in fps.collect()}) or links(fps, n))
+    near_copies.near_copies(frame([(k, t, "en", "a", 1) for k, t in enumerate(rows)]))
+    want = set()
+    for t in rows:
+        w = t.lower().encode().split()
+        distinct = list(dict.fromkeys(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))) if w else []
+        hashed = [int.from_bytes(near_copies.xxhash.xxh64_digest(s, 42), "big") for s in distinct]
+        bits = sum((2 * sum(h >> k & 1 for h in hashed) > len(hashed)) << k for k in range(64))
+        want.add(bits - (bits >> 63 << 64))
+    assert seen == [want]
+
+
+def test_fingerprints_propose(spark):
+    """Without any band, nodes within two bits, or of one fingerprint, or over others, share a group; others don't."""
+    sims = [0b111, 0b1, 0b11111, 0b111, -1, -1 ^ 1 << 40 ^ 1 << 50, 0xFF << 20]
+    nodes = spark.createDataFrame([(k, s, []) for k, s in enumerate(sims)], "fp long, sim long, bands array<long>")
+    groups = {}
+    for r in near_copies.proposals(nodes).collect():
+        groups.setdefault(r.band, set()).add(r.fp)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3], [4, 5], [6]]
+
+
 def test_hard_rows(hard, empty):
     kept = near_copies.near_dedup(hard)
     ids = [r.doc_id for r in kept.collect()]
