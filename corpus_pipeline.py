@@ -8,8 +8,22 @@ from ledgerloom.llm import exact_dedup, mixing, near_copies, packing, queries, t
 from ledgerloom.llm.common import documents, materialise
 
 
+#: Rows of a batch between Spark and Python: at Spark's 10,000 one batch is a whole task's texts, several times over.
+BATCH_ROWS = 1000
+#: Bytes, about, of each of three tables of chunks that a packing worker holds beside an executor's heap.
+REMEMBERED_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on in this session. A plan reads it when it is made, and the last stage's is made by the caller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts; it learns from the labels beside the documents."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -20,6 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles: proposed by SimHash and minima, verified."""
+    small_batches(spark)
     return near_copies.near_dedup(docs)
 
 
@@ -30,7 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
-    return packing.pack(docs, queries.TOKENIZER)
+    small_batches(spark)
+    return packing.pack(docs, queries.TOKENIZER, remembered=REMEMBERED_BYTES)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, union_all
+from ledgerloom.llm.common import give_back, materialise, union_all
 
 SEQUENCE = 4096
 END_ID = 1
@@ -50,7 +50,7 @@ class ChunkEncoder:
     Words of plain letters go to the tokenizer's model directly; all else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -64,15 +64,16 @@ class ChunkEncoder:
         self.older: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.held = self.held_cores = 0
+        self.remembered = remembered
 
     def __call__(self, text: bytes) -> bytes:
         chunks = text.split()
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            if self.held > REMEMBERED_BYTES:
+            if self.held > self.remembered:
                 self.older, self.known, self.held = self.known, {}, 0
-            if self.held_cores > REMEMBERED_BYTES:
+            if self.held_cores > self.remembered:
                 self.cores, self.held_cores = {}, 0
             for c in set(chunks).difference(self.known):
                 self.known[c] = ids = self.older.get(c) or self.chunk(c)
@@ -175,15 +176,16 @@ def pieces_of(doc_id: int, ids: bytes, capacity: int) -> list[tuple]:
     return [(doc_id, k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, n, capacity))]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, end_id: int = END_ID, bins: int = OPEN_BINS, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, end_id: int = END_ID, bins: int = OPEN_BINS, fan_in: int = FAN_IN, remembered: int | None = None) -> DataFrame:
     """One row per piece: where its document's ids start and how many, their CRC-32, its sequence and its place there.
 
-    ``tokenizer`` is the path of a tokenizer file that every executor has.
+    ``tokenizer`` is the path of a tokenizer file that every executor has. A worker keeps tokenizer and chunks for its next
+    tasks; with ``remembered``, bytes of a table of chunks, it gives both back after each.
     """
     end = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = ChunkEncoder(tokenizer, remembered) if remembered else encoder(tokenizer)
 
         def items() -> Iterator[list[tuple]]:
             for b in batches:
@@ -191,7 +193,10 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                 for at in range(0, b.num_rows, 256):
                     yield [p for d, t in zip(b.column(0).slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True) for p in pieces_of(d, encode(t or b"") + end, capacity)]
 
-        return _packed(items(), 0, capacity, bins, False)
+        yield from _packed(items(), 0, capacity, bins, False)
+        if remembered:
+            del encode
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = rows.rdd.getNumPartitions()

@@ -110,7 +110,12 @@ class Model:
 def _features(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the table, their weights and where each bag's begin; a bag names each of its rows once."""
     number = {w: k for k, w in enumerate(sorted(set().union(*bags)))}
-    of, at = grams([*number])
+    names, of, at = [*number], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for some in range(0, len(names), AT_ONCE):
+        found, ends = grams(names[some : some + AT_ONCE])
+        of.append(found)
+        at.append(ends[1:] + at[-1][-1])
+    of, at = np.concatenate(of), np.concatenate(at)
     rows, weights, begins = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
     for bag in bags:
         words, times = np.unique(np.fromiter(map(number.__getitem__, bag), np.int64, len(bag)), return_counts=True)
@@ -184,7 +189,8 @@ class Learner:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     y, learner = np.array(labels, np.float32), Learner()
-    words = [t.encode().split() for t in texts]
+    once: dict[bytes, bytes] = {}
+    words = [[once.setdefault(w, w) for w in t.encode().split()] for t in texts]
     learner.fit(words, y, SCALE, EPOCHS, RATE)
     for _ in range(ROUNDS):
         worst = Scorer(learner.model(WINDOW_SCALE))
