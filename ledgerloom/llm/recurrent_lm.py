@@ -18,7 +18,8 @@ averaged by their tokens, in a tree. A corpus of no more tokens than that is lea
 if small. Nothing but one table of weights a task is gathered. In scoring, documents of a block run side by side, longest
 first, and each one's state is carried over its whole length.
 
-Inside, states are (hidden, time, lane), so that what numpy does to a gate or a class it does to long rows.
+Inside, states are (hidden, time, lane), so that what numpy does to a gate or a class it does to long rows. Places to take
+from are always in range; numpy is told to clip them, as checking takes it twice as long.
 
 Null counts as empty: one token, the end. Rows that repeat are scored alike. Without training documents every count is
 zero. An empty table gives an empty result; other columns are ignored.
@@ -54,6 +55,8 @@ TASK_RATE, TASK_LANES, TASK_TOKENS, TASK_LEAST, FAN_IN = 0.006, 512, 1 << 17, 4_
 #: Tail words whose class a task remembers.
 REMEMBERED = 1 << 17
 SCORED_LANES, SCORED_WINDOW = 1024, 32
+#: Targets whose class softmax is worked out at once: more than this leaves a core's own cache.
+AT_ONCE = 1 << 12
 BLOCK = [FILE_KEY, "block"]
 
 
@@ -133,36 +136,53 @@ class Recurrent:
         """States (hidden, time, lane) after inputs (time, lane), from h (hidden, lane), and what the way back needs. A
         document's first input is the end of another: it starts from zero."""
         (span, lanes), kind = inputs.shape, self.w["into"].dtype
-        x = self.w["into"][inputs]
-        turn = np.ascontiguousarray(self.w["round"].T)
+        x, turn = self._inputs(inputs, 1)
         alive = (inputs != self.vocabulary.place[END]).astype(kind)
         states, before, new, own = (np.empty((HIDDEN, span, lanes), kind) for _ in range(4))
         gates = np.empty((2 * HIDDEN, span, lanes), kind)
         for t in range(span):
             h = np.multiply(h, alive[t], out=before[:, t])
-            u, x_t = turn @ h, x[t].T
+            u = turn @ h
             own[:, t] = u[2 * HIDDEN :]
-            a = u[: 2 * HIDDEN]
-            a += x_t[: 2 * HIDDEN]
-            np.negative(a, out=a)
-            np.exp(a, out=a)
-            a += 1
-            np.reciprocal(a, out=a)
-            gates[:, t] = a
-            n = u[2 * HIDDEN :]
-            n *= a[HIDDEN:]
-            n += x_t[2 * HIDDEN :]
-            n *= -2
-            np.exp(n, out=n)  # tanh by exp, which takes half the time
-            n += 1
-            np.divide(2, n, out=n)
-            n -= 1
-            new[:, t] = n
-            h = h - n
-            h *= a[:HIDDEN]
-            h = np.add(h, n, out=states[:, t])
+            h = self._turn(h, u, x[:, t], 1, gates[:, t], new[:, t], states[:, t])
         return states, before, gates[:HIDDEN], gates[HIDDEN:], new, own, alive
 
+    def _inputs(self, inputs: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
+        """What inputs (time, lane) and the state add to the gates, times -1, and to the new state, times ``new``; the
+        former (3 hidden, time, lane)."""
+        sign = np.repeat(np.array([-1, -1, new], self.w["into"].dtype), HIDDEN)
+        return np.take(np.ascontiguousarray((self.w["into"] * sign).T), inputs, axis=1, mode="clip"), np.ascontiguousarray((self.w["round"] * sign).T)
+
+    @staticmethod
+    def _turn(h: np.ndarray, u: np.ndarray, x: np.ndarray, sign: int, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """State after h; u, which is used up, and x as from _inputs. Gates and new state are written where told."""
+        a, n = u[: 2 * HIDDEN], u[2 * HIDDEN :]
+        a += x[: 2 * HIDDEN]
+        np.exp(a, out=a)
+        a += 1
+        np.reciprocal(a, out=gates)
+        n *= gates[HIDDEN:]
+        n += x[2 * HIDDEN :]
+        if sign == 1:
+            n *= -2
+        np.exp(n, out=n)  # tanh by exp, which takes half the time
+        n += 1
+        np.divide(2, n, out=n)
+        np.subtract(n, 1, out=new)
+        np.subtract(h, new, out=out)
+        out *= gates[:HIDDEN]
+        out += new
+        return out
+
+    def _states(self, h: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+        """The states alone, of lanes in which no document begins after another."""
+        x, turn = self._inputs(inputs, -2)
+        states = np.empty((HIDDEN, *inputs.shape), x.dtype)
+        for t in range(len(inputs)):
+            u = turn @ h
+            h = self._turn(h, u, x[:, t], -2, u[: 2 * HIDDEN], u[2 * HIDDEN :], states[:, t])
+        return states
+
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state of each lane (lane, hidden), and what the way back needs."""
         states, *kept = self._run(h.T, tokens[None])
@@ -176,11 +196,14 @@ class Recurrent:
         """The same for columns of states (hidden, any)."""
         w = self.w
         order, cls, rank, begins = self.vocabulary.by_class(targets)
-        states = np.take(states, places[order], axis=1)
-        logits = w["classes"].T @ states
-        logits += w["class_bias"][:, None]
-        found = logits[cls, np.arange(len(targets))]
-        found -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        states = np.take(states, places[order], axis=1, mode="clip")
+        found, turned = np.empty(len(targets), states.dtype), np.ascontiguousarray(w["classes"].T)
+        for lo in range(0, len(targets), AT_ONCE):
+            logits = turned @ states[:, lo : lo + AT_ONCE]
+            logits += w["class_bias"][:, None]
+            here = found[lo : lo + AT_ONCE]
+            here[:] = logits[cls[lo : lo + AT_ONCE], np.arange(len(here))]
+            here -= np.log(np.exp(logits, out=logits).sum(axis=0))
         for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
             if hi > lo and len(members) > 1:
                 inner = w["words"][members] @ states[:, lo:hi]
@@ -197,15 +220,20 @@ class Recurrent:
         states, before, z, r, new, own, alive = self._run(h.T, inputs)
         every = np.arange(n)
         order, cls, rank, begins = self.vocabulary.by_class(targets.ravel())
-        ordered = np.take(states.reshape(HIDDEN, n), order, axis=1)
-        p = w["classes"].T @ ordered
-        p += w["class_bias"][:, None]
-        p -= p.max(axis=0)
-        np.exp(p, out=p)
-        p /= n * p.sum(axis=0)
-        p[cls, every] -= 1 / n
-        g = {"into": np.zeros_like(w["into"]), "round": None, "classes": ordered @ p.T, "class_bias": p.sum(axis=1), "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
-        d_states = w["classes"] @ p
+        ordered = np.take(states.reshape(HIDDEN, n), order, axis=1, mode="clip")
+        g = {"into": np.zeros_like(w["into"]), "round": None, "classes": np.zeros_like(w["classes"]), "class_bias": np.zeros_like(w["class_bias"]), "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
+        d_states, turned = np.empty_like(ordered), np.ascontiguousarray(w["classes"].T)
+        for lo in range(0, n, AT_ONCE):
+            some = ordered[:, lo : lo + AT_ONCE]
+            p = turned @ some
+            p += w["class_bias"][:, None]
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= n * p.sum(axis=0)
+            p[cls[lo : lo + AT_ONCE], every[: p.shape[1]]] -= 1 / n
+            g["classes"] += some @ p.T
+            g["class_bias"] += p.sum(axis=1)
+            np.matmul(w["classes"], p, out=d_states[:, lo : lo + AT_ONCE])
         for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
             if hi > lo and len(members) > 1:
                 words, here = w["words"][members], ordered[:, lo:hi]
@@ -219,19 +247,18 @@ class Recurrent:
                 d_states[:, lo:hi] += words.T @ q
         back = np.empty(n, np.int64)
         back[order] = every
-        d_states = np.take(d_states, back, axis=1).reshape(states.shape)
+        d_states = np.take(d_states, back, axis=1, mode="clip").reshape(states.shape)
         by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
         d = np.empty((3 * HIDDEN, *inputs.shape), states.dtype)  # of the gates and of what the state adds to the new one
         dh = np.zeros((HIDDEN, lanes), states.dtype)
         d_new = np.empty_like(states)
         for t in range(len(inputs) - 1, -1, -1):
             dh += d_states[:, t]
-            here = np.empty((3 * HIDDEN, lanes), states.dtype)
+            here = d[:, t]
             fresh = np.multiply(dh, by_new[:, t], out=d_new[:, t])
             np.multiply(dh, by_z[:, t], out=here[:HIDDEN])
             np.multiply(fresh, by_r[:, t], out=here[HIDDEN : 2 * HIDDEN])
             np.multiply(fresh, r[:, t], out=here[2 * HIDDEN :])
-            d[:, t] = here
             dh *= z[:, t]
             dh += w["round"] @ here
             dh *= alive[t]
@@ -241,7 +268,7 @@ class Recurrent:
         by_token = np.argsort(tokens, kind="stable")
         tokens = tokens[by_token]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        g["into"][tokens[starts]] = np.add.reduceat(np.take(d.reshape(3 * HIDDEN, n), by_token, axis=1), starts, axis=1).T
+        g["into"][tokens[starts]] = np.add.reduceat(np.take(d.reshape(3 * HIDDEN, n), by_token, axis=1, mode="clip"), starts, axis=1).T
         return states[:, -1].T, g
 
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, most: int = LANES, fade: bool = True) -> "Recurrent":
@@ -314,7 +341,7 @@ class Recurrent:
                     d = documents[ids[k]]
                     piece = d[max(0, at - 1) : at + span]
                     grid[k, (at == 0) : (at == 0) + len(piece)] = piece
-                states = self._run(h[:, :live], grid[:, :-1].T)[0]
+                states = self._states(h[:, :live], grid[:, :-1].T)
                 h = states[:, -1]
                 real = np.flatnonzero((at + np.arange(span))[:, None] < lengths[None, :live])
                 found = self._log_probs(states.reshape(HIDDEN, -1), real, grid[:, 1:].T.ravel()[real])

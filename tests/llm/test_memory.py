@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from ledgerloom.llm import packing, queries, toxicity
+from ledgerloom.llm import recurrent_lm as lm
 
 from fixtures_llm import PROSE
 
@@ -52,3 +53,23 @@ def test_training_hashes_few_words_at_once(monkeypatch, n):
     for k, bag in enumerate(bags[:3]):  # against hashing one word at a time
         rows = {zlib.crc32(toxicity.core(w).encode()) & (toxicity.BUCKETS - 1) for w in bag}
         assert rows <= set(whole[0][whole[2][k] : whole[2][k + 1]].tolist())
+
+
+def test_recurrent_scoring_keeps_no_gates(monkeypatch):
+    """What only the way back needs is neither kept nor computed in scoring, and scores are those of single steps."""
+    rng = np.random.default_rng(5)
+    v = lm.Vocabulary([(b"w%d" % k, 100 - k) for k in range(60)], [5.0] * lm.TAIL_CLASSES, 90, 5000)
+    m = lm.Recurrent(v)
+    m.w = {k: x + rng.normal(0, 0.3, x.shape).astype(np.float32) for k, x in m.w.items()}
+    docs = [rng.integers(0, 60 + lm.TAIL_CLASSES, n) for n in (0, 1, 31, 32, 33, 200, 64, 5)]
+    docs = [np.where(d == v.place[b""], 0, d) for d in docs]
+    want = []
+    for d in docs:
+        h, last, total = np.zeros((1, lm.HIDDEN), np.float32), v.place[b""], 0.0
+        for token in [*d, v.place[b""]]:
+            h = m.step(h, np.array([last]))[0]
+            total, last = total + float(m.log_probs(h, np.array([token]))[0]), token
+        want.append(total)
+    monkeypatch.setattr(lm.Recurrent, "_run", None)
+    monkeypatch.setattr(lm, "AT_ONCE", 7)
+    assert np.allclose(m.score(docs), want, rtol=1e-5, atol=1e-4)
