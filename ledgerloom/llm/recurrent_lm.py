@@ -18,8 +18,12 @@ averaged by their tokens, in a tree. A corpus of no more tokens than that is lea
 if small. Nothing but one table of weights a task is gathered. In scoring, documents of a block run side by side, longest
 first, and each one's state is carried over its whole length.
 
-Inside, states are (hidden, time, lane), so that what numpy does to a gate or a class it does to long rows. Places to take
-from are always in range; numpy is told to clip them, as checking takes it twice as long.
+Words are split, looked up and counted by Arrow, a few megabytes of texts at a time; no word becomes a Python object but
+the first letters of rare ones, each once.
+
+Inside, what only one step needs is (time, hidden, lane), so a step works in a core's cache; states are (hidden, time,
+lane), with rows a little longer than that, as rows a power of two apart would share few of the cache's lines. Places to
+take from are always in range; numpy is told to clip them, as checking takes it twice as long.
 
 Null counts as empty: one token, the end. Rows that repeat are scored alike. Without training documents every count is
 zero. An empty table gives an empty result; other columns are ignored.
@@ -29,12 +33,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ from ledgerloom.llm.common import FILE_KEY, ROW_KEY, file_backed, give_back, kee
 #: The end of a document; no word is empty.
 END = b""
 BLOCK_BYTES, LONG = 8 << 20, 128
+#: Bytes of words that wait to be counted, about, at most.
+WAITING_BYTES = 32 << 20
 #: Bytes of text, about, that one partition of the shuffled blocks has.
 PARTITION_BYTES = 32 << 20
 HEAD_WORDS, HEAD_CLASSES, TAIL_CLASSES, TAIL_LETTERS, COMMON = 800, 24, 40, 3, 100_000
@@ -52,11 +58,13 @@ FIRST_TOKENS, FIRST_BYTES = 1_000_000, 1 << 20
 #: At which rate the other tasks learn, in how many lanes, how many tokens at a time, from how many tokens at least, and
 #: how many tasks' weights one task averages.
 TASK_RATE, TASK_LANES, TASK_TOKENS, TASK_LEAST, FAN_IN = 0.006, 512, 1 << 17, 4_000_000, 64
-#: Tail words whose class a task remembers.
-REMEMBERED = 1 << 17
-SCORED_LANES, SCORED_WINDOW = 1024, 32
-#: Targets whose class softmax is worked out at once: more than this leaves a core's own cache.
-AT_ONCE = 1 << 12
+#: Bytes of texts, about, whose words are looked up at once.
+TEXT_BYTES = 8 << 20
+SCORED_LANES, SCORED_WINDOW = 512, 32
+#: Targets whose class softmax is worked out at once: more than this leaves the products' fast form and a core's own cache.
+AT_ONCE = 1 << 9
+#: Floats by which rows of states are longer than they need be; logits below this need no shift before exp.
+PAD, SAFE = 16, 60.0
 BLOCK = [FILE_KEY, "block"]
 
 
@@ -68,21 +76,19 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[:TAIL_LETTERS]) % TAIL_CLASSES
 
 
-class Tokens(dict):
-    """Tokens of the words: a head word's place, or the number of the head and the tail class."""
-
-    def __init__(self, place: dict[bytes, int]) -> None:
-        super().__init__(place)
-        self.n_head = len(place)
-
-    def __missing__(self, word: bytes) -> int:
-        token = self.n_head + tail_class(word)
-        if len(self) < self.n_head + REMEMBERED:
-            self[word] = token
-        return token
-
-    def __reduce__(self) -> tuple:
-        return Tokens, (dict(islice(self.items(), self.n_head)),)
+def words_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Of some texts at a time, about TEXT_BYTES, all words, A-Z in lower case, and where each text's begin and the last's end."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    size, lo = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_BYTES, side="right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo)))
+        words, ends = split.flatten().cast(pa.binary()), np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        filled = pc.greater(pc.binary_length(words), 0)
+        if filled.true_count < len(filled):  # space at a text's begin or end leaves an empty word
+            words, ends = words.filter(filled), np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))][ends]
+        yield words, ends
+        lo = hi
 
 
 class Vocabulary:
@@ -101,17 +107,22 @@ class Vocabulary:
         self.class_bias = np.log(np.r_[np.maximum(of_class, 1e-3), self.tail] / (mass.sum() + self.tail.sum())).astype(np.float32)
         self.word_bias = np.log(mass / of_class[self.head_class]).astype(np.float32)
         self.n_head = len(head)
-        self.tokens_of = Tokens(self.place)
+        self.head = pa.array(list(self.place), pa.binary())
         self.class_of = np.r_[self.head_class, HEAD_CLASSES + np.arange(TAIL_CLASSES)].astype(np.uint8)
         self.rank = np.zeros(self.n_head, int)
         for m in self.members:
             self.rank[m] = np.arange(len(m))
 
     def token(self, word: bytes) -> int:
-        return self.tokens_of[word]
+        return self.place[word] if word in self.place else self.n_head + tail_class(word)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.tokens_of.__getitem__, words), np.int64, len(words))
+    def encode(self, words: pa.Array) -> np.ndarray:
+        """A head word's place, or the number of the head and the tail class."""
+        tokens = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = np.flatnonzero(tokens < 0)
+        first = pc.binary_slice(words.take(pa.array(rare)), 0, TAIL_LETTERS).dictionary_encode()
+        tokens[rare] = self.n_head + np.array([tail_class(w) for w in first.dictionary.to_pylist()], np.int64)[first.indices.to_numpy()]
+        return tokens
 
     def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, ...]:
         """An order of the targets by class; in it, their classes and head words' ranks in theirs; where classes begin."""
@@ -133,54 +144,55 @@ class Recurrent:
         }
 
     def _run(self, h: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States (hidden, time, lane) after inputs (time, lane), from h (hidden, lane), and what the way back needs. A
-        document's first input is the end of another: it starts from zero."""
+        """States (hidden, time, lane) after inputs (time, lane), from h (hidden, lane), and what the way back needs, by
+        time. A document's first input is the end of another: it starts from zero."""
         (span, lanes), kind = inputs.shape, self.w["into"].dtype
-        x, turn = self._inputs(inputs, 1)
+        into, turn = self._inputs()
         alive = (inputs != self.vocabulary.place[END]).astype(kind)
-        states, before, new, own = (np.empty((HIDDEN, span, lanes), kind) for _ in range(4))
-        gates = np.empty((2 * HIDDEN, span, lanes), kind)
+        before, new, less = (np.empty((span, HIDDEN, lanes), kind) for _ in range(3))
+        gates, own = np.empty((span, 2 * HIDDEN, lanes), kind), np.empty((span, 3 * HIDDEN, lanes), kind)
+        states, x = self._rows(HIDDEN, inputs.shape), np.empty((3 * HIDDEN, lanes), kind)
         for t in range(span):
-            h = np.multiply(h, alive[t], out=before[:, t])
-            u = turn @ h
-            own[:, t] = u[2 * HIDDEN :]
-            h = self._turn(h, u, x[:, t], 1, gates[:, t], new[:, t], states[:, t])
-        return states, before, gates[:HIDDEN], gates[HIDDEN:], new, own, alive
-
-    def _inputs(self, inputs: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
-        """What inputs (time, lane) and the state add to the gates, times -1, and to the new state, times ``new``; the
-        former (3 hidden, time, lane)."""
-        sign = np.repeat(np.array([-1, -1, new], self.w["into"].dtype), HIDDEN)
-        return np.take(np.ascontiguousarray((self.w["into"] * sign).T), inputs, axis=1, mode="clip"), np.ascontiguousarray((self.w["round"] * sign).T)
+            h = np.multiply(h, alive[t], out=before[t])
+            np.take(into, inputs[t], axis=1, mode="clip", out=x)
+            h = self._turn(h, np.matmul(turn, h, out=own[t]), x, gates[t], new[t], less[t])
+            states[:, t] = h
+        return states, before, gates[:, :HIDDEN], gates[:, HIDDEN:], new, less, own[:, 2 * HIDDEN :], alive
+
+    def _rows(self, n: int, shape: tuple[int, int]) -> np.ndarray:
+        """Room for n rows of (time, lane), PAD apart."""
+        rows = np.empty((n, shape[0] * shape[1] + PAD), self.w["into"].dtype)
+        return rows[:, : shape[0] * shape[1]].reshape(n, *shape)
+
+    def _inputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """What inputs and the state add to the gates, halved as _turn wants it, and to the new state, by row."""
+        half = np.repeat(np.array([0.5, 0.5, 1], self.w["into"].dtype), HIDDEN)
+        return np.ascontiguousarray((self.w["into"] * half).T), np.ascontiguousarray((self.w["round"] * half).T)
 
     @staticmethod
-    def _turn(h: np.ndarray, u: np.ndarray, x: np.ndarray, sign: int, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """State after h; u, which is used up, and x as from _inputs. Gates and new state are written where told."""
-        a, n = u[: 2 * HIDDEN], u[2 * HIDDEN :]
-        a += x[: 2 * HIDDEN]
-        np.exp(a, out=a)
-        a += 1
-        np.reciprocal(a, out=gates)
-        n *= gates[HIDDEN:]
-        n += x[2 * HIDDEN :]
-        if sign == 1:
-            n *= -2
-        np.exp(n, out=n)  # tanh by exp, which takes half the time
-        n += 1
-        np.divide(2, n, out=n)
-        np.subtract(n, 1, out=new)
-        np.subtract(h, new, out=out)
-        out *= gates[:HIDDEN]
-        out += new
-        return out
-
-    def _states(self, h: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-        """The states alone, of lanes in which no document begins after another."""
-        x, turn = self._inputs(inputs, -2)
-        states = np.empty((HIDDEN, *inputs.shape), x.dtype)
+    def _turn(h: np.ndarray, u: np.ndarray, x: np.ndarray, gates: np.ndarray, new: np.ndarray, less: np.ndarray) -> np.ndarray:
+        """State after h; u and x as from _inputs. Gates, new state and what h is more than that are written where told."""
+        np.add(u[: 2 * HIDDEN], x[: 2 * HIDDEN], out=gates)
+        np.tanh(gates, out=gates)  # the logistic function by tanh of half, which needs no division
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(u[2 * HIDDEN :], gates[HIDDEN:], out=new)
+        new += x[2 * HIDDEN :]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=less)
+        h = less * gates[:HIDDEN]
+        h += new
+        return h
+
+    def _states(self, h: np.ndarray, inputs: np.ndarray, into: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The states alone, of lanes in which no document begins after another; into and turn as from _inputs."""
+        lanes = inputs.shape[1]
+        states = self._rows(HIDDEN, inputs.shape)
+        x, u, gates, new, less = (np.empty((k * HIDDEN, lanes), states.dtype) for k in (3, 3, 2, 1, 1))
         for t in range(len(inputs)):
-            u = turn @ h
-            h = self._turn(h, u, x[:, t], -2, u[: 2 * HIDDEN], u[2 * HIDDEN :], states[:, t])
+            np.take(into, inputs[t], axis=1, mode="clip", out=x)
+            h = self._turn(h, np.matmul(turn, h, out=u), x, gates, new, less)
+            states[:, t] = h
         return states
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -188,93 +200,122 @@ class Recurrent:
         states, *kept = self._run(h.T, tokens[None])
         return states[:, 0].T, *kept
 
+    @staticmethod
+    def _with_one(states: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Columns of states (hidden, any), and a row of ones, which takes the bias."""
+        out = np.empty((HIDDEN + 1, len(places)), states.dtype)
+        np.take(states, places, axis=1, mode="clip", out=out[:HIDDEN])
+        out[HIDDEN] = 1
+        return out
+
+    def _softmaxes(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with the bias of classes and of head words, by row, and whether no logit can leave exp's range. States
+        lie between -1 and 1."""
+        w = self.w
+        both = np.c_[w["classes"].T, w["class_bias"]], np.c_[w["words"], w["word_bias"]]
+        return *both, max(float(np.abs(x).sum(axis=1).max()) for x in both) < SAFE
+
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of the class, and of the word in it for head words; h (lane, hidden)."""
-        return self._log_probs(h.T, np.arange(len(h)), targets)
+        return self._log_probs(h.T, np.arange(len(h)), targets, *self._softmaxes())
 
-    def _log_probs(self, states: np.ndarray, places: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """The same for columns of states (hidden, any)."""
-        w = self.w
+    def _log_probs(self, states: np.ndarray, places: np.ndarray, targets: np.ndarray, classes: np.ndarray, words: np.ndarray, safe: bool) -> np.ndarray:
+        """The same for columns of states (hidden, any); the rest as from _softmaxes."""
         order, cls, rank, begins = self.vocabulary.by_class(targets)
-        states = np.take(states, places[order], axis=1, mode="clip")
-        found, turned = np.empty(len(targets), states.dtype), np.ascontiguousarray(w["classes"].T)
+        states = self._with_one(states, places[order])
+        found, total, every = np.empty(len(targets), states.dtype), np.empty(len(targets), states.dtype), np.arange(len(targets))
+
+        def softmax(weights: np.ndarray, lo: int, hi: int, wanted: np.ndarray) -> None:
+            logits = weights @ states[:, lo:hi]
+            if not safe:
+                logits -= logits.max(axis=0)
+            found[lo:hi] = logits[wanted, every[: hi - lo]]
+            np.sum(np.exp(logits, out=logits), axis=0, out=total[lo:hi])
+
         for lo in range(0, len(targets), AT_ONCE):
-            logits = turned @ states[:, lo : lo + AT_ONCE]
-            logits += w["class_bias"][:, None]
-            here = found[lo : lo + AT_ONCE]
-            here[:] = logits[cls[lo : lo + AT_ONCE], np.arange(len(here))]
-            here -= np.log(np.exp(logits, out=logits).sum(axis=0))
+            softmax(classes, lo, min(lo + AT_ONCE, len(targets)), cls[lo : lo + AT_ONCE])
+        out = found - np.log(total)
+        found[: begins[-1]], total[: begins[-1]] = 0, 1
         for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
             if hi > lo and len(members) > 1:
-                inner = w["words"][members] @ states[:, lo:hi]
-                inner += w["word_bias"][members][:, None]
-                found[lo:hi] += inner[rank[lo:hi], np.arange(hi - lo)]
-                found[lo:hi] -= np.log(np.exp(inner, out=inner).sum(axis=0))
-        out = np.empty_like(found)
-        out[order] = found
-        return out
+                softmax(words[members], lo, hi, rank[lo:hi])
+        out[: begins[-1]] += found[: begins[-1]] - np.log(total[: begins[-1]])
+        found[order] = out
+        return found
 
     def _window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Forward and back over one window (time, lane); the last state (lane, hidden) and the gradients."""
-        w, n, lanes = self.w, targets.size, inputs.shape[1]
-        states, before, z, r, new, own, alive = self._run(h.T, inputs)
-        every = np.arange(n)
+        w, n, (span, lanes) = self.w, targets.size, inputs.shape
+        states, before, z, r, new, less, own, alive = self._run(h.T, inputs)
+        every, (classes, words, safe) = np.arange(n), self._softmaxes()
         order, cls, rank, begins = self.vocabulary.by_class(targets.ravel())
-        ordered = np.take(states.reshape(HIDDEN, n), order, axis=1, mode="clip")
-        g = {"into": np.zeros_like(w["into"]), "round": None, "classes": np.zeros_like(w["classes"]), "class_bias": np.zeros_like(w["class_bias"]), "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
-        d_states, turned = np.empty_like(ordered), np.ascontiguousarray(w["classes"].T)
+        ordered = self._with_one(states.base, order)
+        d_states, kind = np.empty((HIDDEN, n), states.dtype), states.dtype
+        g_classes, g_words, g_round = np.zeros_like(classes), np.zeros_like(words), np.zeros_like(w["round"])
+
+        def softmax(weights: np.ndarray, lo: int, hi: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients by the weights and by the states; p is never divided, as states have fewer rows."""
+            here = ordered[:, lo:hi]
+            p = weights @ here
+            if not safe:
+                p -= p.max(axis=0)
+            total = np.exp(p, out=p).sum(axis=0)
+            p[wanted, every[: hi - lo]] -= total
+            scale = np.reciprocal(total * n)
+            d = weights[:, :HIDDEN].T @ p
+            d *= scale
+            return p @ (here * scale).T, d
+
         for lo in range(0, n, AT_ONCE):
-            some = ordered[:, lo : lo + AT_ONCE]
-            p = turned @ some
-            p += w["class_bias"][:, None]
-            p -= p.max(axis=0)
-            np.exp(p, out=p)
-            p /= n * p.sum(axis=0)
-            p[cls[lo : lo + AT_ONCE], every[: p.shape[1]]] -= 1 / n
-            g["classes"] += some @ p.T
-            g["class_bias"] += p.sum(axis=1)
-            np.matmul(w["classes"], p, out=d_states[:, lo : lo + AT_ONCE])
+            g, d_states[:, lo : lo + AT_ONCE] = softmax(classes, lo, min(lo + AT_ONCE, n), cls[lo : lo + AT_ONCE])
+            g_classes += g
         for members, (lo, hi) in zip(self.vocabulary.members, pairwise(begins), strict=True):
             if hi > lo and len(members) > 1:
-                words, here = w["words"][members], ordered[:, lo:hi]
-                q = words @ here
-                q += w["word_bias"][members][:, None]
-                q -= q.max(axis=0)
-                np.exp(q, out=q)
-                q /= n * q.sum(axis=0)
-                q[rank[lo:hi], every[: hi - lo]] -= 1 / n
-                g["words"][members], g["word_bias"][members] = q @ here.T, q.sum(axis=1)
-                d_states[:, lo:hi] += words.T @ q
+                g_words[members], d = softmax(words[members], lo, hi, rank[lo:hi])
+                d_states[:, lo:hi] += d
         back = np.empty(n, np.int64)
         back[order] = every
-        d_states = np.take(d_states, back, axis=1, mode="clip").reshape(states.shape)
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
-        d = np.empty((3 * HIDDEN, *inputs.shape), states.dtype)  # of the gates and of what the state adds to the new one
-        dh = np.zeros((HIDDEN, lanes), states.dtype)
-        d_new = np.empty_like(states)
-        for t in range(len(inputs) - 1, -1, -1):
-            dh += d_states[:, t]
-            here = d[:, t]
-            fresh = np.multiply(dh, by_new[:, t], out=d_new[:, t])
-            np.multiply(dh, by_z[:, t], out=here[:HIDDEN])
-            np.multiply(fresh, by_r[:, t], out=here[HIDDEN : 2 * HIDDEN])
-            np.multiply(fresh, r[:, t], out=here[2 * HIDDEN :])
-            dh *= z[:, t]
-            dh += w["round"] @ here
+        back = back.reshape(span, lanes)
+        d = self._rows(3 * HIDDEN, inputs.shape)
+        dh, held, kept = np.zeros((HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind)
+        here = np.empty((3 * HIDDEN, lanes), kind)  # of the gates and of what the state adds to the new one
+        by_z, by_r, by_own = here[:HIDDEN], here[HIDDEN : 2 * HIDDEN], here[2 * HIDDEN :]
+        for t in range(span - 1, -1, -1):
+            dh += np.take(d_states, back[t], axis=1, mode="clip", out=held)
+            np.multiply(dh, z[t], out=kept)
+            dh -= kept
+            np.multiply(new[t], new[t], out=held)
+            np.subtract(1, held, out=held)
+            dh *= held  # of the new state, now
+            np.multiply(kept, z[t], out=held)
+            np.subtract(kept, held, out=held)
+            np.multiply(held, less[t], out=by_z)
+            np.multiply(dh, r[t], out=by_own)
+            np.multiply(by_own, r[t], out=held)
+            np.subtract(by_own, held, out=held)
+            np.multiply(held, own[t], out=by_r)
+            d[: 2 * HIDDEN, t], d[2 * HIDDEN :, t] = here[: 2 * HIDDEN], dh
+            g_round += before[t] @ here.T
+            np.matmul(w["round"], here, out=dh)
+            dh += kept
             dh *= alive[t]
-        g["round"] = before.reshape(HIDDEN, n) @ d.reshape(3 * HIDDEN, n).T
-        d[2 * HIDDEN :] = d_new
-        tokens = inputs.ravel().astype(np.uint16 if len(w["into"]) < 1 << 16 else np.int64)  # 16 bits sort by radix
+        g_into = np.zeros_like(w["into"])
+        tokens = inputs.ravel().astype(np.uint16 if len(g_into) < 1 << 16 else np.int64)  # 16 bits sort by radix
         by_token = np.argsort(tokens, kind="stable")
         tokens = tokens[by_token]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        g["into"][tokens[starts]] = np.add.reduceat(np.take(d.reshape(3 * HIDDEN, n), by_token, axis=1, mode="clip"), starts, axis=1).T
+        g_into[tokens[starts]] = np.concatenate([np.add.reduceat(np.take(d.base[k : k + 4], by_token, axis=1, mode="clip"), starts, axis=1) for k in range(0, 3 * HIDDEN, 4)]).T
+        g = {"into": g_into, "round": g_round, "classes": g_classes[:, :HIDDEN].T, "class_bias": g_classes[:, HIDDEN], "words": g_words[:, :HIDDEN], "word_bias": g_words[:, HIDDEN]}
         return states[:, -1].T, g
 
+    def _stream(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Documents one after another, an end before each and after the last."""
+        end = np.array([self.vocabulary.place[END]])
+        return np.concatenate([x for d in documents for x in (end, d)] + [end]).astype(np.int64)
+
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, most: int = LANES, fade: bool = True) -> "Recurrent":
         """documents: tokens without the end."""
-        end = self.vocabulary.place[END]
-        stream = np.concatenate([np.r_[end, d] for d in documents] + [[end]]).astype(np.int64)
+        stream = self._stream(documents)
         lanes = max(1, min(most, len(stream) // (2 * WINDOW)))
         length = (len(stream) - 1) // lanes
         if length < 1:
@@ -325,67 +366,66 @@ class Recurrent:
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each document's tokens and its end, but for what rare words share of their class."""
-        end = self.vocabulary.place[END]
-        order = np.argsort([-len(d) for d in documents], kind="stable")
-        out = np.zeros(len(documents))
+        sizes = np.array([len(d) + 1 for d in documents])
+        stream, begins = self._stream(documents), np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        out, turns, softmaxes = np.zeros(len(documents)), self._inputs(), self._softmaxes()
         for first in range(0, len(order), SCORED_LANES):
             ids = order[first : first + SCORED_LANES]
-            lengths = np.array([len(documents[i]) + 1 for i in ids])
+            lengths = sizes[ids]
             h = np.zeros((HIDDEN, len(ids)), np.float32)
             for at in range(0, lengths[0], SCORED_WINDOW):
                 live = int(np.searchsorted(-lengths, -at, side="left"))  # longest first: those longer than at
                 span = min(SCORED_WINDOW, lengths[0] - at)
-                # tokens at - 1 .. at + span, with the end before the first and after the last
-                grid = np.full((live, span + 1), end, np.int64)
-                for k in range(live):
-                    d = documents[ids[k]]
-                    piece = d[max(0, at - 1) : at + span]
-                    grid[k, (at == 0) : (at == 0) + len(piece)] = piece
-                states = self._states(h[:, :live], grid[:, :-1].T)
+                # tokens at - 1 .. at + span, the end before the first; past a document's end another's, which don't count
+                grid = np.take(stream, begins[ids[:live]] + (at + np.arange(span + 1))[:, None], mode="clip")
+                states = self._states(h[:, :live], grid[:-1], *turns)
                 h = states[:, -1]
                 real = np.flatnonzero((at + np.arange(span))[:, None] < lengths[None, :live])
-                found = self._log_probs(states.reshape(HIDDEN, -1), real, grid[:, 1:].T.ravel()[real])
+                found = self._log_probs(states.base, real, grid[1:].ravel()[real], *softmaxes)
                 out[ids[:live]] += np.bincount(real % live, found, live)
         return out
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """BLOCK, word and how often the block's training documents in a task have it (0 for words of held-out ones only)."""
-    schema = pa.schema([(FILE_KEY, pa.int64()), ("block", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, Counter()
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What block_words gives, of batches of FILE_KEY, block, held_out and text."""
+    at, some, size = None, [], 0  # of one block: words, whether they are training documents', how many such documents
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if not some:
+            return
+        found = pa.chunked_array([w for w, *_ in some]).combine_chunks().dictionary_encode()
+        of = np.concatenate([learned for _, learned, _ in some])
+        places, words = found.indices.to_numpy(), found.dictionary
+        n = np.bincount(places[of], minlength=len(words))
+        words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        n = np.r_[n, sum(ends for *_, ends in some)]
+        for k in range(0, len(n), 50_000):
+            rows = len(n[k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, at[0])), pa.array(np.full(rows, at[1])), words.slice(k, rows), pa.array(n[k : k + 50_000])], names=[FILE_KEY, "block", "word", "n"])
+        some.clear()
+
+    for b in batches:
+        file, block, held = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+        for lo, hi in pairwise([0, *cuts.tolist(), b.num_rows]):
+            if hi > lo and (file[lo], block[lo]) != at:
+                yield from done()
+                at, size = (file[lo], block[lo]), 0
+            row = lo
+            for words, ends in words_of(b.column(3).slice(lo, hi - lo)):
+                learns = ~held[row : row + len(ends) - 1]
+                some.append((words, np.repeat(learns, np.diff(ends)), int(learns.sum())))
+                row, size = row + len(learns), size + words.nbytes
+                if size > WAITING_BYTES:  # a block may come in several parts
+                    yield from done()
+                    size = 0
+    yield from done()
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if counts:
-                words, ns = list(counts.keys()), list(counts.values())
-                for k in range(0, len(words), 50_000):
-                    some = words[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.int64()), pa.array([at[1]] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(ns[k : k + 50_000], pa.int64())], schema=schema)
-            counts.clear()
 
-        for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            texts = b.column(3).cast(pa.binary())
-            for lo in range(0, b.num_rows, 256):
-                for (file, block, held), t in zip(keys[lo : lo + 256], texts.slice(lo, 256).to_pylist(), strict=True):
-                    if (file, block) != at:
-                        yield from done()
-                        at = file, block
-                    words = lowered(t)
-                    if held:
-                        counts.update(dict.fromkeys([*words, END], 0))
-                    else:
-                        counts.update(words)
-                        counts[END] += 1
-        yield from done()
-
-    return blocks.select(*BLOCK, "held_out", "text").mapInArrow(run, f"{FILE_KEY} long, block long, word binary, n long")
-
-
-def lowered(text: bytes | None) -> list[bytes]:
-    """bytes.lower() changes A-Z only."""
-    return (text or b"").lower().split()
+def block_words(blocks: DataFrame) -> DataFrame:
+    """BLOCK, word and how often the block's training documents in a task have it (0 for words of held-out ones only)."""
+    return blocks.select(*BLOCK, "held_out", "text").mapInArrow(counted, f"{FILE_KEY} long, block long, word binary, n long")
 
 
 def blocks_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -422,7 +462,9 @@ def train(docs: DataFrame, vocab: Vocabulary, *, id_col: str = "doc_id", text_co
     epochs = min(EPOCHS, max(1, FIRST_TOKENS // max(1, vocab.tokens)))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        return (vocab.encode(lowered(t.as_py())) for b in batches for t in b.column("text").cast(pa.binary()))
+        for b in batches:
+            for words, ends in words_of(b.column("text")):
+                yield from np.split(vocab.encode(words), ends[1:-1])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
@@ -474,7 +516,7 @@ def _weights(w: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
 class Lexicon:
     """What scoring needs to know of words: token, base score, share of its class, whether training has it."""
 
-    def __init__(self, v: Vocabulary, words: list[bytes], c: np.ndarray) -> None:
+    def __init__(self, v: Vocabulary, words: pa.Array, c: np.ndarray) -> None:
         token = v.encode(words)
         share, rare = np.zeros(len(c)), token >= v.n_head
         share[rare] = np.log((c[rare] + 0.5) / v.tail[token[rare] - v.n_head])
@@ -484,30 +526,26 @@ class Lexicon:
 def score(blocks: DataFrame, size: int, rare: DataFrame, common: dict[bytes, int], model: Recurrent) -> DataFrame:
     """rare: BLOCK, word, c for all words of a block that are not common."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    held = {**common} if END in common else {**common, END: 0}
-    everywhere = dict(zip(held, range(len(held)), strict=True))
+    held = pa.array(list(common), pa.binary())
     shared: list[Lexicon] = []  # one for each worker's task
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         keep_freed()
         v = model.vocabulary
         if not shared:
-            shared.append(Lexicon(v, list(held), np.array(list(held.values()), np.int64)))
-        once = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
-        here = Lexicon(v, list(once), np.array(list(once.values()), np.int64))
+            shared.append(Lexicon(v, held, np.array(list(common.values()), np.int64)))
+        own = words.column("word").cast(pa.binary()).combine_chunks()
+        here = Lexicon(v, own, words.column("c").to_numpy())
         token, base, share, known = (np.concatenate(c) for c in zip(shared[0].columns, here.columns, strict=True))
-        place = dict(zip(once, range(len(held), len(held) + len(once)), strict=True))
-        end = place[END] = everywhere[END]
+        every = pa.concat_arrays([held, own])
+        end = pc.index(every, pa.scalar(END, pa.binary())).as_py()
         tokens, rows = [], []
-        for t in texts.column("text").cast(pa.binary()):
-            w = lowered(t.as_py())
-            try:
-                ids = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            except KeyError:  # common words that the block meets for the first time
-                place |= {x: everywhere[x] for x in set(w).difference(place)}
-                ids = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            tokens.append(token[ids])
-            rows.append((len(ids) + 1, int(known[ids].sum() + known[end]), float(base[ids].sum() + base[end]), float(share[ids].sum())))
+        for t in texts.column("text").chunks:
+            for some, ends in words_of(t):
+                ids = pc.index_in(some, value_set=every).to_numpy()
+                parts = [np.split(x[ids], ends[1:-1]) for x in (token, base, share, known)]
+                tokens += parts[0]
+                rows += [(len(b) + 1, int(k.sum() + known[end]), float(b.sum() + base[end]), float(s.sum())) for b, s, k in zip(*parts[1:], strict=True)]
         scores = (model.score(tokens) + np.array([r[3] for r in rows])) / math.log(10)
         n = len(rows)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([v.tokens] * n, pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array(scores, pa.float64())], names=names)
